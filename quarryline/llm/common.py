@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 _U = np.uint64
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes outside words of letters, digits and anything beyond ASCII.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
 
@@ -125,12 +127,12 @@ class Words:
     start, end: byte places; of: the words of text i are of[i]:of[i + 1]; hash: 64-bit hashes of
     their bytes (letters A-Z lowered first if lower)."""
 
-    def __init__(self, col: pa.Array, lower: bool = False, hashes: bool = True):
+    def __init__(self, col: pa.Array, lower: bool = False, hashes: bool = True, gaps: np.ndarray = _WS):
         data, self.off = text_buffer(col)
         if lower and len(data):
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         self.data = data
-        word = ~_WS[data]
+        word = ~gaps[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[self.off] = True
         before = np.empty_like(word)

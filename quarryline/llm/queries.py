@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from . import sharding, simhash
+from . import lines, packing, sharding, simhash, tokencount, toxicity, urls, warc
 
 QUERIES = {
     "op1_rendezvous_shards": sharding.query,
+    "op3_harmonic_packing": packing.query,
+    "op4_separator_scan": tokencount.query,
+    "op5_warc_chunks": warc.query,
+    "op7_line_first_cleaning": lines.query,
+    "op8_rarest_token_rules": urls.query,
+    "op9_nearest_toxic_examples": toxicity.query,
     "op10_simhash_ball": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_chunks": warc.ORACLE,
+    "op7_line_first_cleaning": lines.ORACLE,
+    "op8_rarest_token_rules": urls.ORACLE,
+}
