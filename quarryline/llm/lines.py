@@ -1,6 +1,6 @@
 """Line-first cleaning: rules per line first, then documents that lose too much text go.
 
-A line with words fails if it has no closing punctuation, is navigation (many separators), boilerplate
+A line with words fails if it is short and has no closing punctuation, is navigation (many separators), boilerplate
 (legal, cookie and script notices), or noise (mostly symbols, or shouted words). Failing lines are
 removed; a document goes if the words of its other lines are less than `least_left` of all its words.
 """
@@ -35,7 +35,7 @@ def failing_rule(line: str, n_words: int) -> str | None:
         return "boilerplate"
     if len(_SYMBOL.findall(line)) > n_words or 2 * len(_SHOUT.findall(line)) > n_words:
         return "noise"
-    if not _CLOSED.search(line):
+    if n_words < 20 and not _CLOSED.search(line):
         return "punctuation"
     return None
 
@@ -135,7 +135,7 @@ j AS (SELECT doc_id, line, n,
     OR regexp_matches(line, '(?i:licensed under|all rights reserved|copyright \(c\)|privacy policy|terms of (?:use|service)|use cookies|enable javascript|sign in|log in|subscribe (?:now|to)|click here|lorem ipsum|powered by)')
     OR len(regexp_extract_all(line, '[#*$%&|<>]')) > n
     OR 2 * len(regexp_extract_all(regexp_replace(line, '[ \t\r\x0b\x0c]', '  ', 'g') || ' ', '!![ ]')) > n
-    OR NOT regexp_matches(line, '[.!?;:…。！？]["''”’»)\]]*[ \t\r\x0b\x0c]*$') AS bad
+    OR n < 20 AND NOT regexp_matches(line, '[.!?;:…。！？]["''”’»)\]]*[ \t\r\x0b\x0c]*$') AS bad
   FROM lw WHERE n > 0),
 ls AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN bad THEN 0 ELSE n END) AS words_left, sum(bad::INT) AS failed_lines FROM j GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
