@@ -284,3 +284,18 @@ def as_fs(uri: str):
 
 def col_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+#: Rows up to which a list of ids (and what hangs on them) is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows. df should be a stored table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is among the (stored) ids; a null id is only removed by a null."""
+    gone = if_small(ids.select(F.col(id_col).alias("__gone")))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")

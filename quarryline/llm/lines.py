@@ -121,6 +121,34 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return C.arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), one, schema)
 
 
+def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **limits) -> DataFrame:
+    """docs without the documents that measure() rejects, and without the failing lines of the others; all
+    columns stay, chars_col (if there) is the new number of characters. No row is moved."""
+    names = docs.columns
+    least_words, most_repeated, least_left = (limits.get(k, d) for k, d in (("least_words", 10), ("most_repeated", 20), ("least_left", 50)))
+    at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        col = batch.column(at)
+        w = C.Words(col)
+        n_words = np.diff(w.of)
+        repeat = repeated_words(w)
+        good = np.flatnonzero(~((n_words < least_words) | (100 * repeat > most_repeated * n_words)))
+        if not len(good):
+            return None
+        part = batch.take(pa.array(good))
+        judged = [judge_lines(t) for t in part.column(at).to_pylist()]
+        keep = np.array([100 * j[1] >= least_left * n for j, n in zip(judged, n_words[good])], bool)
+        part, texts = part.filter(pa.array(keep)), [j[0] for j, k in zip(judged, keep) if k]
+        cols = list(part.columns)
+        cols[at] = pa.array(texts, pa.string())
+        if chars is not None:
+            cols[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(part.schema.field(chars).type)
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    return C.arrow_map(docs, one, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return measure(C.table(spark, sf_dir, "documents"))
 

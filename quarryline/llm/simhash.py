@@ -253,6 +253,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return C.lookup(prints, per_class, "fp", "n").select("doc_id", "fp", "n_near", "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """docs with one document of each component of near-duplicates, that with the smallest id; all columns
+    stay. Of rows with that id one stays; rows with null ids go if their component has another id."""
+    found = C.stored(near_duplicates(docs, id_col, text_col, radius), "near-duplicates")
+    gone = C.stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    left = C.without(docs, gone, id_col)
+    again = C.stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_col)), "repeated-ids")
+    if not again.limit(1).count():
+        return left
+    once = left.join(C.if_small(again.withColumnRenamed(id_col, "__again")), F.col(id_col).eqNullSafe(F.col("__again")), "left_semi").dropDuplicates([id_col])
+    return C.without(left, again, id_col).unionByName(once)
+
+
 def hex16(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
