@@ -67,52 +67,91 @@ class Lookup:
 
 
 class BlockMaxIndex:
-    """Exact cosine top-k over weighted unit vectors (dicts of term to weight)."""
+    """Exact cosine top-k over weighted unit vectors (rows of (term, weight)), for many queries at a time.
+
+    Postings of a term lie in blocks of _BLOCK vectors with the block's largest weight. The last term, which
+    every vector has, is a column instead of postings. A query first opens the blocks of the highest
+    bounds; its k-th best similarity then tells which of the others could still matter."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.order = sorted(range(len(vectors)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:2], i))
-        self.n_blocks = -(-len(vectors) // _BLOCK)
-        self.n = len(vectors)
-        rows: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for place, i in enumerate(self.order):
-            for t, x in vectors[i].items():
-                rows[t].append((place, x))
-        self.place = [np.array([p for p, _ in r], np.int32) for r in rows]
-        self.weight = [np.array([x for _, x in r], np.float64) for r in rows]
-        self.start, self.peak = [], []
-        for p, x in zip(self.place, self.weight):
-            block = p // _BLOCK
-            peak = np.zeros(self.n_blocks)
-            np.maximum.at(peak, block, x)
-            self.peak.append(peak)
-            self.start.append(np.searchsorted(block, np.arange(self.n_blocks + 1)))
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k best (similarity, vector), ties to the lower place; vectors without a shared term aren't found."""
-        if not query or not self.n:
-            return []
-        terms = list(query.items())
-        bound = sum(q * self.peak[t] for t, q in terms)
-        best_s, best_p, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        todo = np.argsort(-bound, kind="stable")
-        at = 0
-        while at < len(todo) and bound[todo[at]] > 0 and (len(best_s) < k or bound[todo[at]] + 1e-12 >= least):
-            some = todo[at : at + 8]
-            some = some[bound[some] > 0]
-            scores = np.zeros((len(some), _BLOCK))
-            for t, q in terms:
-                for row, b in enumerate(some):
-                    i, j = self.start[t][b], self.start[t][b + 1]
-                    if j > i:
-                        scores[row, self.place[t][i:j] - b * _BLOCK] += q * self.weight[t][i:j]
-            row, off = np.nonzero(scores)
-            best_s = np.concatenate([best_s, scores[row, off]])
-            best_p = np.concatenate([best_p, some[row] * _BLOCK + off])
-            keep = np.lexsort((best_p, -best_s))[:k]
-            best_s, best_p = best_s[keep], best_p[keep]
-            least = best_s[-1] if len(best_s) == k else 0.0
-            at += 8
-        return [(float(s), self.order[p]) for s, p in zip(best_s, best_p)]
+        last = n_terms - 1
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (sorted((t for t in vectors[i] if t != last), key=lambda t: -vectors[i][t])[:2], i)), dtype=np.int64)
+        self.n, self.last = len(vectors), last
+        self.blocks = -(-self.n // _BLOCK)
+        self.rest = np.zeros(self.blocks * _BLOCK)
+        t, p, w = [], [], []
+        for place, i in enumerate(self.order.tolist()):
+            for term, x in vectors[i].items():
+                if term == last:
+                    self.rest[place] = x
+                else:
+                    t.append(term)
+                    p.append(place)
+                    w.append(x)
+        t, p, w = np.array(t, np.int64), np.array(p, np.int64), np.array(w, np.float64)
+        order = np.lexsort((p, t))
+        self.place, self.weight = p[order], w[order]
+        cell = t[order] * self.blocks + self.place // _BLOCK
+        self.start = np.searchsorted(cell, np.arange(last * self.blocks + 1))
+        self.peak = np.zeros((last + 1, self.blocks))
+        if self.n:
+            np.maximum.at(self.peak, (t[order], self.place // _BLOCK), self.weight)
+            self.peak[last] = self.rest.reshape(-1, _BLOCK).max(axis=1)
+        self.full = np.arange(self.blocks * _BLOCK) < self.n
+
+    def _score(self, owner, term, weight, first, rest, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Similarities of the vectors of block b[i] to query q[i], a row each."""
+        out = rest[q][:, None] * self.rest.reshape(-1, _BLOCK)[b]
+        n = first[q + 1] - first[q]
+        pair = np.repeat(np.arange(len(q)), n)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[q], n)
+        cell = term[entry] * self.blocks + b[pair]
+        m = self.start[cell + 1] - self.start[cell]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[cell], m)
+        flat = np.repeat(pair, m) * _BLOCK + self.place[at] % _BLOCK
+        out += np.bincount(flat, weights=np.repeat(weight[entry], m) * self.weight[at], minlength=out.size).reshape(out.shape)
+        out[~self.full.reshape(-1, _BLOCK)[b]] = -1.0
+        return out
+
+    def search(self, queries: list[dict[int, float]], k: int, opened: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, similarity), the k most similar vectors of every query in order, ties to the lower
+        place of the index; vectors without any shared term aren't found."""
+        if not self.n or not queries:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        n = len(queries)
+        rows = [(i, t, w) for i, v in enumerate(queries) for t, w in v.items() if t != self.last]
+        owner, term, weight = (np.array(x, kind) for x, kind in zip(zip(*rows) if rows else ((), (), ()), (np.int64, np.int64, np.float64)))
+        rest = np.array([v.get(self.last, 0.0) for v in queries])
+        first = np.searchsorted(owner, np.arange(n + 1))
+        used, column = np.unique(term, return_inverse=True)
+        dense = np.zeros((n, len(used) + 1))
+        dense[owner, column] = weight
+        dense[:, -1] = rest
+        bound = dense @ self.peak[np.r_[used, self.last]]
+        opened = min(max(opened, -(-k // _BLOCK) + 1), self.blocks)
+        top = np.argpartition(-bound, opened - 1, axis=1)[:, :opened]
+        q, b = np.repeat(np.arange(n), opened), top.ravel()
+        score = self._score(owner, term, weight, first, rest, q, b)
+        each = score.reshape(n, -1)
+        least = -np.partition(-each, k - 1, axis=1)[:, k - 1] if each.shape[1] >= k else np.full(n, -1.0)
+        need = bound + 1e-9 >= np.maximum(least, 1e-12)[:, None]
+        np.put_along_axis(need, top, False, axis=1)
+        found = [self._kept(q, b, score, least)]
+        more_q, more_b = np.nonzero(need)
+        for at in range(0, len(more_q), 1 << 15):
+            q, b = more_q[at : at + (1 << 15)], more_b[at : at + (1 << 15)]
+            found.append(self._kept(q, b, self._score(owner, term, weight, first, rest, q, b), least))
+        q, place, s = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((place, -s, q))
+        q, place, s = q[order], place[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        good = rank < k
+        return q[good], self.order[place[good]], s[good]
+
+    @staticmethod
+    def _kept(q: np.ndarray, b: np.ndarray, score: np.ndarray, least: np.ndarray):
+        row, off = np.nonzero((score >= least[q][:, None]) & (score > 1e-12))
+        return q[row], b[row] * _BLOCK + off, score[row, off]
 
 
 @dataclass
@@ -132,29 +171,20 @@ class Model:
     def start(self) -> "Model":
         self.lookup = Lookup(self.terms)
         self.index = BlockMaxIndex(self.vectors, len(self.terms) + 1)
-        self.known: dict[tuple, tuple[float, list]] = {}
         return self
 
-    def vote(self, vector: dict[int, float], without: int | None = None) -> tuple[float, list]:
-        """Raw vote and the neighbours [(similarity, example)]; examples with equal vectors are one with a
-        weight. Left out: one copy of example `without`."""
-        key = tuple(sorted(vector.items()))
-        if without is None and key in self.known:
-            return self.known[key]
-        found = self.index.search(vector, self.k + (without is not None))
-        hits = weight = 0.0
-        for s, i in found:
-            pos, n = self.toxic[i], self.total[i]
-            if i == without:
-                pos, n = pos - self.own, n - 1
-            w = 1.0 / (1.02 - min(1.0, s)) ** 2
-            share = w * min(n, 8.0) / n if n else 0.0
-            hits += share * pos
-            weight += share * n
-        out = (hits + 2 * self.prior) / (weight + 2), found
-        if without is None and len(self.known) < 200_000:
-            self.known[key] = out
-        return out
+    def votes(self, vectors: list[dict[int, float]], without: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Raw votes, and the neighbours (query, example, similarity). Examples with equal vectors are one
+        that counts for up to eight. Left out: of query i, one copy of example without[i] labelled own[i]."""
+        q, e, s = self.index.search(vectors, self.k + (without is not None))
+        pos, n = self.toxic[e], self.total[e]
+        if without is not None:
+            mine = e == without[q]
+            pos, n = pos - np.where(mine, own[q], 0.0), n - mine
+        w = np.where(n > 0, np.minimum(n, 8.0) / np.maximum(n, 1.0), 0.0) / (1.02 - np.minimum(1.0, s)) ** 2
+        hits = np.bincount(q, weights=w * pos, minlength=len(vectors))
+        weight = np.bincount(q, weights=w * n, minlength=len(vectors))
+        return (hits + 2 * self.prior) / (weight + 2), (q, e, s)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(raw, self.curve_x, self.curve_y), 0.0, 1.0)
@@ -263,22 +293,15 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     prior = (sum(r["_y"] for r in empty) + 0.5 * pos / max(n, 1)) / (len(empty) + 0.5)
     keys = list(groups)
     model = Model(lookup.terms, idf, 1.0, [dict(x) for x in keys], np.array([sum(r["_y"] for r in groups[x]) for x in keys], float), np.array([len(groups[x]) for x in keys], float), [groups[x][0]["_id"] for x in keys], prior, k).start()
-    raws, ys, ws = [], [], []
-    for i, x in enumerate(keys):
-        for label in (0, 1):
-            have = model.toxic[i] if label else model.total[i] - model.toxic[i]
-            if have:
-                model.own = label
-                raws.append(model.vote(model.vectors[i], i)[0])
-                ys.append(float(label))
-                ws.append(float(have))
-    if empty:
-        raws.append(model.vote({})[0])
-        ys.append(sum(r["_y"] for r in empty) / len(empty))
-        ws.append(float(len(empty)))
-    if raws:
-        model.curve_x, model.curve_y = isotonic(np.array(raws), np.array(ys), np.array(ws))
-    model.known = {}
+    if keys:
+        again = [(i, y, have) for i in range(len(keys)) for y, have in ((0.0, model.total[i] - model.toxic[i]), (1.0, model.toxic[i])) if have]
+        raws, ys, ws = [], [x[1] for x in again], [x[2] for x in again]
+        for some in C.batches_of(again, 512):
+            raws.append(model.votes([model.vectors[x[0]] for x in some], np.array([x[0] for x in some]), np.array([x[1] for x in some]))[0])
+        raws = np.concatenate(raws)
+        if empty:
+            raws, ys, ws = np.r_[raws, model.prior], [*ys, sum(r["_y"] for r in empty) / len(empty)], [*ws, float(len(empty))]
+        model.curve_x, model.curve_y = isotonic(raws, np.array(ys), np.array(ws))
     return model
 
 
@@ -294,9 +317,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in (b for whole in batches for b in C.cut(whole)):
             owner, hashes, n_words = features(batch.column(1))
             made = make_vectors(*m.lookup.counts(owner, hashes, len(n_words)), n_words, m.idf, m.rest)
-            votes = [m.vote(v) for v in made]
-            p = m.probability(np.array([x for x, _ in votes]))
-            near = [[{"example": str(m.ids[i]), "similarity": round(s, 6)} for s, i in found[:evidence]] for _, found in votes]
+            filled = [i for i, v in enumerate(made) if v]
+            raw = np.full(len(made), m.prior)
+            near: list[list] = [[] for _ in made]
+            for some in C.batches_of(filled, 512):
+                raw[some], (q, e, sim) = m.votes([made[i] for i in some])
+                best = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < evidence)
+                for i, x, y in zip(q[best].tolist(), e[best].tolist(), sim[best].tolist()):
+                    near[some[i]].append({"example": str(m.ids[x]), "similarity": round(y, 6)})
+            p = m.probability(raw)
             yield C.pa_batch(doc_id=batch.column(0), score=p, predicted=(p >= 0.5).astype(np.int32), evidence=pa.array(near, pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64())]))))
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<example string, similarity double>>")
