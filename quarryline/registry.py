@@ -8,7 +8,9 @@ FLAGSHIP = "search_hit_inventory"
 
 
 def _modules() -> list:
-    return []
+    from .plans import index_queries, retrieval_queries, scalar_queries
+
+    return [scalar_queries, retrieval_queries, index_queries]
 
 
 def queries() -> dict[str, Callable]:
