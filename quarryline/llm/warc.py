@@ -30,14 +30,14 @@ def b32(digest: bytes) -> str:
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload another page with a smaller id has; payloads under
+    """(page_id, digest, refers_to) of the pages whose payload another page with a smaller id has; payloads under
     least_bytes never revisit. Only digests are shuffled, and groups are reduced before they meet."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     marks = C.stored(pages.filter(F.octet_length(payload) >= least_bytes).select(F.col(id_col).alias("page_id"), F.sha1(F.encode(payload, "UTF-8")).alias("digest")), "digests")
     groups = C.stored(marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")), "digest-groups")
     shared = groups.filter(F.col("n") > 1)
     found = C.lookup(marks, shared, "digest", "n")
-    return found.filter(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "refers_to").distinct()
+    return found.filter(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def _record_id(page) -> str:
@@ -53,11 +53,12 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     spark = pages.sparkSession
     spec = dict(pages.dtypes)[id_col]
     plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
-    again = C.stored(revisits(pages, id_col, payload_col, least_bytes), "revisits").withColumnRenamed("page_id", "_again").withColumn("_is", F.lit(True))
+    again = C.stored(revisits(pages, id_col, payload_col, least_bytes), "revisits").withColumnRenamed("page_id", "_again").withColumnRenamed("digest", "_digest")
     if again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS:
         again = F.broadcast(again)
-    sized = F.octet_length(F.coalesce("payload", F.lit(""))) >= least_bytes
-    plain = plain.join(again, F.col("page_id").eqNullSafe(F.col("_again")) & sized, "left").select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
+    # An id may come twice with different payloads, so the digest is part of the key; only marked pages meet a row.
+    own = F.sha1(F.encode(F.coalesce("payload", F.lit("")), "UTF-8"))
+    plain = plain.join(again, (own == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_again")), "left").select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
