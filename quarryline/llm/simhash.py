@@ -67,6 +67,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- links ---------------------------------------------------------------------------------
 
 
+def _half(radius: int) -> int:
+    """Half the radius, rounded up: an odd distance has its middle nearer to one end."""
+    if not 0 <= radius <= 4:
+        raise ValueError("radius must be from 0 to 4")
+    return (radius + 1) // 2
+
+
 def _flips(bits: list[int], most: int) -> list[np.ndarray]:
     """Masks that flip exactly 0, 1 .. most of the bits."""
     one = np.array([1 << b for b in bits], dtype=_U)
@@ -86,12 +93,12 @@ def _lowest(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def links(distinct: DataFrame, radius: int = 4, block_bits: int | None = None, fp_col: str = "fp") -> DataFrame:
-    """(a, b), a < b as unsigned numbers: every two of the distinct fingerprints at most `radius` (0 to 5)
+    """(a, b), a < b as unsigned numbers: every two of the distinct fingerprints at most `radius` (0 to 4)
     bits apart, each pair once. Nulls are dropped; an empty table gives none.
 
     Two fingerprints that are d bits apart share several variants; only the canonical one, the smaller
     fingerprint with the lowest d // 2 of the differing bits flipped, reports the pair."""
-    half = radius // 2
+    half = _half(radius)
     one = distinct.select(F.col(fp_col).alias("fp")).filter(F.col("fp").isNotNull())
     if block_bits is None:
         n = one.count()
@@ -108,7 +115,6 @@ def links(distinct: DataFrame, radius: int = 4, block_bits: int | None = None, f
     for k, w in enumerate(weights):
         scatter |= np.where((moves >> _U(k)) & _U(1) > 0, w, _U(0))
     free = _flips(others, half)
-    odd = radius % 2
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
@@ -128,14 +134,13 @@ def links(distinct: DataFrame, radius: int = 4, block_bits: int | None = None, f
             for at in range(0, batch.num_rows, 4096):
                 yield spread(batch.slice(at, 4096))
 
-    assert odd in (0, 1) and 0 <= radius <= 5
     return one.mapInArrow(spread_parts, "block long, fp long, move int").groupBy("block").applyInArrow(meet, "a long, b long")
 
 
 def _block_links(fp: np.ndarray, placed: np.ndarray, dist: np.ndarray, free: list[np.ndarray], radius: int, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of fp whose canonical common variant lies in this block; placed is fp moved into the
     block by dist flips of the block's bits, free the flips of the other bits."""
-    half = radius // 2
+    half = _half(radius)
     parts = []
     for d in range(half + 1):
         own = np.flatnonzero(dist == d)
