@@ -2,9 +2,9 @@
 
 Items and all passages of the corpus are TF-IDF vectors over the items' own terms. A distributed
 randomised SVD finds the leading right singular vectors of the passages (items included): a random
-block is multiplied by A'A in one pass over the corpus, made orthonormal, multiplied again, and a small
-eigenproblem gives the basis. Windows of every document are compared with every item by the cosine in that
-basis; what is close enough is checked by the longest common subsequence of words, and matches that
+block is multiplied by A'A in one pass over the corpus, and the Nystrom form of that product, which is
+symmetric, gives the basis from a small eigenproblem. Windows of every document are compared with every item by the cosine in that
+basis, save windows that lack the terms without which no match is possible; what is close enough is checked by the longest common subsequence of words, and matches that
 are only paraphrases also have to carry the item's answer.
 
 The corpus's words are looked up once; what is kept per document are the places of the items' terms,
@@ -136,18 +136,27 @@ def _unit(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _gram_times(number, term, weight, block: np.ndarray, n_terms: int) -> np.ndarray:
-    """A'A times block, for the slice's rows of A."""
-    out = np.zeros((n_terms, block.shape[1]), np.float32)
+    """A'A times block, for rows of A given by their entries (ordered by row). Rows of as many entries are
+    multiplied together; the way back is a product per term."""
+    out = np.zeros((n_terms, block.shape[1]), np.float64)
     if not len(number):
         return out
-    w = weight.astype(np.float32)[:, None]
+    w = weight.astype(np.float32)
     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    y = np.add.reduceat(block[term] * w, starts, axis=0)  # A block, a row per passage
-    row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(number)]))
+    size = np.diff(np.r_[starts, len(number)])
+    y = np.zeros((len(starts), block.shape[1]), np.float32)
+    for m in np.unique(size):
+        rows = np.flatnonzero(size == m)
+        for some in np.array_split(rows, max(1, len(rows) * int(m) // 65_536)):
+            at = starts[some][:, None] + np.arange(m)
+            y[some] = np.matmul(w[at][:, None, :], block[term[at]])[:, 0]
+    row = np.repeat(np.arange(len(starts)), size)
     order = np.argsort(term.astype(np.uint32), kind="stable")
     t = term[order]
-    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    out[t[starts]] = np.add.reduceat(y[row[order]] * w[order], starts, axis=0)
+    cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(t)]):
+        some = order[a:b]
+        out[t[a]] = w[some] @ y[row[some]]
     return out
 
 
@@ -218,27 +227,32 @@ def latent_basis(places: DataFrame, items: Items, extra: int = 32, seed: int = 7
     # Each item weighs as much as the passages that its least common terms are in.
     strong = math.sqrt(max(1.0, float(np.median(df[telling])) if telling.any() else 1.0))
 
-    def times(b: np.ndarray) -> np.ndarray:
-        b32 = b.astype(np.float32)
-
-        def run(batches):
-            total = np.zeros((v, width), np.float64)
-            for _, n_words, size, pos, t in Slices(batches, wide):
-                number, t, tf = _passage_entries(size, pos, t, v, telling)
-                if len(number):
-                    total += _gram_times(number, t, _unit(number, (1 + np.log(tf)) * idf[t]), b32, v)
-            return total
-
-        return _padded(_summed(places, run, width), v) + _gram_times(row, term, weight * strong, b32, v)
+    b32 = block.astype(np.float32)
+
+    def run(batches):
+        total, held, n = np.zeros((v, width)), [], 0
+        for _, n_words, size, pos, t in Slices(batches, wide):
+            number, t, tf = _passage_entries(size, pos, t, v, telling)
+            if len(number):
+                held.append((number + n, t, _unit(number, (1 + np.log(tf)) * idf[t])))
+                n += int(number[-1]) + 1
+            if n > 100_000:
+                total += _gram_times(*(np.concatenate(x) for x in zip(*held)), b32, v)
+                held, n = [], 0
+        if held:
+            total += _gram_times(*(np.concatenate(x) for x in zip(*held)), b32, v)
+        return total
 
     if not width:
         return idf, telling, block
-    block = np.linalg.qr(times(block))[0]
-    image = times(block)
+    image = _padded(_summed(places, run, width), v) + _gram_times(row, term, weight * strong, b32, v)
+    # Nystrom: A'A is close to image (block' image)^-1 image', made stable by a small shift.
+    shift = 1e-6 * np.linalg.norm(image)
+    image = image + shift * block
     small = block.T @ image
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values)[: width]
-    return idf, telling, block @ vectors[:, order]
+    root = np.linalg.cholesky((small + small.T) / 2 + 1e-9 * np.trace(small) / width * np.eye(width))
+    left, _, _ = np.linalg.svd(np.linalg.solve(root, image.T).T, full_matrices=False)
+    return idf, telling, left
 
 
 def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_COSINE, min_lcs=MIN_LCS, sure_lcs=SURE_LCS) -> DataFrame:
@@ -247,8 +261,12 @@ def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_
     v = len(items.lookup.terms)
     wide, kind = _term_type(v), places.schema["doc_id"].dataType.simpleString()
     lengths = np.array([len(w) for w in items.words])
-    tells = [np.unique(w[telling[w]]) if len(w) else w for w in items.words]
-    need = np.array([max(1, math.ceil(min_lcs * len(t) - 1e-9) - 1) if len(t) else 1 << 30 for t in tells])
+    # A common subsequence of min_lcs has at least so many of the item's telling words.
+    common = np.array([int((~telling[w]).sum()) if len(w) else 0 for w in items.words])
+    need = np.maximum(1, np.ceil(min_lcs * lengths - 1e-9).astype(np.int64) - common)
+    reach = np.ceil(1.6 * lengths).astype(np.int64) + STRIDE
+    pairs = np.array(sorted({(int(t), i) for i, w in enumerate(items.words) for t in np.unique(w) if telling[t]}), np.int64).reshape(-1, 2)
+    of_term = np.searchsorted(pairs[:, 0], np.arange(v + 1))
     base32 = basis.astype(np.float32)
     q = np.zeros((len(items.words), basis.shape[1]), np.float32)
     for i, w in enumerate(items.words):
@@ -258,12 +276,24 @@ def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_
             q[i] = x / max(np.linalg.norm(x), 1e-12)
     masks = [_masks(w) for w in items.words]
     answers, ids = items.answers, items.ids
-    # Windows of several lengths, each for the items that fit into it.
-    scales: dict[int, np.ndarray] = {}
-    for i, n in enumerate(lengths):
-        if n and need[i] < 1 << 30:
-            scales.setdefault(max(2 * STRIDE, 1 << math.ceil(math.log2(n * 1.15))), []).append(i)
-    scales = {k: np.array(x) for k, x in scales.items()}
+
+    def windows(o, p, t):
+        """(text, item, first word) of the stretches that have the telling words a match needs."""
+        n = of_term[t + 1] - of_term[t]
+        entry = np.repeat(np.arange(len(t)), n)
+        item = pairs[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(of_term[t], n), 1]
+        o, p = o[entry], p[entry]
+        order = np.lexsort((p, item, o))
+        o, p, item = o[order], p[order], item[order]
+        last = np.arange(len(o)) + need[item] - 1
+        ok = last < len(o)
+        last = np.minimum(last, len(o) - 1)
+        ok &= (o[last] == o) & (item[last] == item) & (p[last] - p < reach[item])
+        o, p, item = o[ok], p[ok], item[ok]
+        # Of stretches that begin in one cell of STRIDE words the first is enough: it is as long again.
+        new = np.ones(len(o), bool)
+        new[1:] = (o[1:] != o[:-1]) | (item[1:] != item[:-1]) | (p[1:] // STRIDE != p[:-1] // STRIDE)
+        return o[new], item[new], p[new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, n_words, size, pos, term in Slices(batches, wide):
@@ -273,67 +303,49 @@ def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_
             o, p, t = owner[good], pos[good], term[good]
             if not len(o):
                 continue
-            cells = -(-n_words // STRIDE) + 1
-            first = np.r_[0, np.cumsum(cells)]
-            cell = first[o] + p // STRIDE
-            at = np.searchsorted(cell, np.arange(first[-1] + 1))
+            place = o.astype(np.int64) << 32 | p
+            doc, item, begin = windows(o, p, t)
             found: dict[tuple[int, int], tuple] = {}
-            for width, which in scales.items():
-                span = width // STRIDE
-                hits = at[np.minimum(np.arange(first[-1]) + span, first[-1])] - at[:-1]
-                doc_of = np.repeat(np.arange(len(cells)), cells)
-                here = np.flatnonzero(hits >= need[which].min())
-                here = here[cell_begins(at, here)]
-                ends = np.minimum(here + span, first[doc_of[here] + 1])
-                for lo in range(0, len(here), 2048):
-                    a, b, d = here[lo : lo + 2048], ends[lo : lo + 2048], doc_of[here[lo : lo + 2048]]
-                    s, e = at[a], at[b]
-                    enough = e - s >= need[which].min()
-                    a, s, e, d = a[enough], s[enough], e[enough], d[enough]
-                    if not len(a):
+            for lo in range(0, len(doc), 4096):
+                d, i, a = doc[lo : lo + 4096], item[lo : lo + 4096], begin[lo : lo + 4096]
+                s = np.searchsorted(place, d << 32 | a)
+                e = np.searchsorted(place, d << 32 | (a + reach[i]))
+                n = e - s
+                row = np.repeat(np.arange(len(d)), n)
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
+                pair, tf = np.unique(row * v + t[entry], return_counts=True)
+                r, tt = pair // v, pair % v
+                w = ((1 + np.log(tf)) * idf[tt]).astype(np.float32)
+                starts = np.searchsorted(r, np.arange(len(d) + 1))
+                cos = np.zeros(len(d))
+                for k in range(len(d)):
+                    x0, x1 = starts[k], starts[k + 1]
+                    x = w[x0:x1] @ base32[tt[x0:x1]]
+                    cos[k] = float(x @ q[i[k]]) / max(float(np.sqrt(x @ x)), 1e-12)
+                for k in np.flatnonzero(cos >= min_cosine):
+                    which, text = int(i[k]), int(d[k])
+                    own = slice(cuts[text], cuts[text + 1])
+                    x0, x1 = cuts[text] + np.searchsorted(pos[own], [int(a[k]) - STRIDE, int(a[k]) + int(reach[which])])
+                    near = [z for z in zip(term[x0:x1].tolist(), pos[x0:x1].tolist()) if z[0] in masks[which]]
+                    m = lcs(masks[which], [z[0] for z in near], int(lengths[which])) / float(lengths[which])
+                    if m < min_lcs:
                         continue
-                    n = e - s
-                    row = np.repeat(np.arange(len(a)), n)
-                    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
-                    pair, tf = np.unique(row * v + t[entry], return_counts=True)
-                    r, tt = pair // v, pair % v
-                    distinct = np.bincount(r, minlength=len(a))
-                    w = ((1 + np.log(tf)) * idf[tt]).astype(np.float32)[:, None]
-                    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    x = np.add.reduceat(base32[tt] * w, starts, axis=0)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    cos = x @ q[which].T
-                    for k, j in zip(*np.nonzero((cos >= min_cosine) & (distinct[:, None] >= need[which][None, :]))):
-                        i, doc = int(which[j]), int(d[k])
-                        begin = max(0, (int(a[k]) - int(first[doc])) * STRIDE - STRIDE)
-                        end = begin + width + 2 * STRIDE
-                        x0, x1 = cuts[doc] + np.searchsorted(pos[cuts[doc] : cuts[doc + 1]], [begin, end])
-                        near = [z for z in zip(term[x0:x1].tolist(), pos[x0:x1].tolist()) if z[0] in masks[i]]
-                        m = lcs(masks[i], [z[0] for z in near], int(lengths[i])) / float(lengths[i])
-                        if m < min_lcs:
-                            continue
-                        have = {z[0] for z in near}
-                        told = answers[i]
-                        answer = len(told & have) / len(told) if told else 1.0
-                        if m < sure_lcs and answer < 0.5:
-                            continue
-                        best = found.get((doc, i))
-                        if best is None or (m, float(cos[k, j])) > (best[3], best[2]):
-                            found[doc, i] = (near[0][1], near[-1][1] + 1, float(cos[k, j]), m, answer)
+                    have = {z[0] for z in near}
+                    told = answers[which]
+                    answer = len(told & have) / len(told) if told else 1.0
+                    if m < sure_lcs and answer < 0.5:
+                        continue
+                    best = found.get((text, which))
+                    if best is None or (m, float(cos[k])) > (best[3], best[2]):
+                        found[text, which] = (near[0][1], near[-1][1] + 1, float(cos[k]), m, answer)
             if found:
                 keys = sorted(found)
-                docs_at = pa.array([k[0] for k in keys], pa.int64())
                 cols = list(zip(*(found[k] for k in keys)))
-                yield C.pa_batch(doc_id=batch.column("doc_id").take(docs_at), item_id=pa.array([ids[k[1]] for k in keys], pa.int64()), start_word=np.array(cols[0], np.int64), end_word=np.array(cols[1], np.int64), cosine=np.array(cols[2]), lcs=np.array(cols[3]), answer=np.array(cols[4]))
+                yield C.pa_batch(doc_id=batch.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), item_id=pa.array([ids[k[1]] for k in keys], pa.int64()), start_word=np.array(cols[0], np.int64), end_word=np.array(cols[1], np.int64), cosine=np.array(cols[2]), lcs=np.array(cols[3]), answer=np.array(cols[4]))
 
     return places.mapInArrow(run, f"doc_id {kind}, item_id long, start_word long, end_word long, cosine double, lcs double, answer double")
 
 
-def cell_begins(at: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """Windows that begin with an empty cell are the same as a later one."""
-    return at[here + 1] > at[here]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, items_at_once: int = ITEMS, **limits) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, cosine, lcs, answer), a row per document and item found in it.
 
