@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_rendezvous_shards": sharding.ORACLE,
     "op5_warc_chunks": warc.ORACLE,
     "op7_line_first_cleaning": lines.ORACLE,
     "op8_rarest_token_rules": urls.ORACLE,

@@ -67,3 +67,23 @@ def moved(assigned: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     out = assign(C.table(spark, sf_dir, "documents"), range(24), range(25))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, chr(0) || 'null') AS k FROM documents),
+s AS (SELECT doc_id, (strlen(t) + 8)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, x: xor(c >> 8, ({_crc_table()})[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
+    list_transform(range(25), lambda i: -ln((('0x' || substr(md5(k || '/' || i), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)) AS sc FROM d),
+p AS (SELECT *, (list_position(sc[1:24], list_min(sc[1:24])) - 1)::INT AS shard, (list_position(sc, list_min(sc)) - 1)::INT AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, grown_shard FROM p
+"""

@@ -40,3 +40,7 @@ def test_one_id_holds_most_rows(docs_of):
     got = S.assign(d, range(3)).groupBy("shard").agg(F.max("slot").alias("m"), F.count("*").alias("n"), F.countDistinct("slot").alias("k")).collect()
     assert all(r["m"] + 1 == r["n"] == r["k"] for r in got)
     assert S.moved(S.assign(d, range(3), range(4))).filter("grown_shard <> 3").count() == 0
+
+
+def test_query_equals_sql(spark, sf, duck, same):
+    same(S.query(spark, sf), duck.sql(S.ORACLE))
