@@ -157,5 +157,7 @@ def lexical_route(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: W
     planned = queries.select("qid", text.lexical_query(F.col("query")).alias("query"))
     first = search(planned, chunks, k, weights, prefix, **ready)
     changed = queries.join(planned.withColumnRenamed("query", "planned"), "qid").filter(F.col("query") != F.col("planned")).select("qid", "query")
+    if not changed.limit(1).count():
+        return first
     missed = changed.join(first.select("qid").distinct(), "qid", "left_anti")
     return first.unionByName(search(missed, chunks, k, weights, prefix, **ready))
