@@ -13,6 +13,7 @@ from ..operators import dense as DN
 from ..operators import fusion as FU
 from ..operators import lexical as LX
 from . import base as B
+from .scalar_queries import NOISE
 
 
 def c2_line_windows(spark, sf):
@@ -250,6 +251,20 @@ _DOCS = "x AS (SELECT source AS qid, doc_id AS id, strlen(text) // 4 + 1 AS dt,
 _HITS = B.CHUNKS + """, h AS (SELECT split_part(path, '/', 2) AS qid, path, "start" AS a, "end" AS b, symbol, content, round(1.0 / ("start" + strlen(content)), 9) AS score FROM chunks),
 i AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, path ORDER BY a, b) AS isl FROM (SELECT *, max(b) OVER (PARTITION BY qid, path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM h)),
 mb AS (SELECT qid, path, min(a) AS a, max(b) AS b, max(score) AS score, coalesce(first(symbol ORDER BY a) FILTER (symbol <> ''), '') AS symbol, string_agg(CASE WHEN far IS NULL OR a > far + 1 THEN content WHEN b > far THEN array_to_string(string_split(content, chr(10))[(far - a + 2):], chr(10)) END, chr(10) ORDER BY a) AS content FROM i GROUP BY qid, path, isl)"""
+_FOLD = (
+    "WITH RECURSIVE "
+    + _HITS
+    + """, rb AS (SELECT qid, path, a, b, strlen(content)::BIGINT AS bytes, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path, a) AS rank FROM mb),
+p1 AS (SELECT DISTINCT qid, 0::BIGINT AS rank, 20000::BIGINT AS l, []::VARCHAR[] AS files, []::BIGINT[] AS taken FROM rb
+  UNION ALL SELECT p.qid, x.rank, CASE WHEN ok THEN l - bytes ELSE l END, CASE WHEN ok THEN list_append(files, path) ELSE files END, CASE WHEN ok THEN list_append(taken, x.rank) ELSE taken END
+  FROM (SELECT p1.*, rb.rank AS nr, rb.path, rb.bytes, rb.bytes <= l AND NOT list_contains(files, rb.path) AS ok FROM p1 JOIN rb ON rb.qid = p1.qid AND rb.rank = p1.rank + 1) p, LATERAL (SELECT p.nr AS rank) x),
+e1 AS (SELECT qid, arg_max(l, rank) AS l, arg_max(files, rank) AS files, arg_max(taken, rank) AS taken FROM p1 GROUP BY qid),
+p2 AS (SELECT qid, 0::BIGINT AS rank, l, files, taken FROM e1
+  UNION ALL SELECT p.qid, x.rank, CASE WHEN ok THEN l - bytes ELSE l END, CASE WHEN ok THEN list_append(files, path) ELSE files END, CASE WHEN ok THEN list_append(taken, x.rank) ELSE taken END
+  FROM (SELECT p2.*, rb.rank AS nr, rb.path, rb.bytes, rb.bytes <= l AND list_contains(files, rb.path) AND NOT list_contains(taken, rb.rank) AS ok FROM p2 JOIN rb ON rb.qid = p2.qid AND rb.rank = p2.rank + 1) p, LATERAL (SELECT p.nr AS rank) x),
+e2 AS (SELECT qid, arg_max(taken, rank) AS taken FROM p2 GROUP BY qid),
+sel AS (SELECT rb.*, list_contains(taken, rb.rank) AS shown FROM rb JOIN e2 USING (qid))"""
+)
 _MAP = """mf AS (SELECT path, CASE WHEN instr(path, '/') > 1 THEN split_part(path, '/', 1) ELSE '.' END AS top_dir, count(*) AS chunks, max("end") AS max_line, coalesce(list_sort(list_distinct(list(symbol) FILTER (symbol <> ''))), []) AS sy FROM {src} GROUP BY path),
 ms AS (SELECT *, len(sy) AS ns, len(sy) * CASE WHEN starts_with(lower(path), 'docs/') OR contains(lower(path), '/docs/') THEN 0.6 ELSE 1.0 END::DOUBLE AS score, '  ' || path || ':1-' || max_line || CASE WHEN len(sy) > 0 THEN ' ' || array_to_string(sy[1:8], ', ') || CASE WHEN len(sy) > 8 THEN ', +' || (len(sy) - 8) || ' more' ELSE '' END ELSE '' END AS line FROM mf)"""
 
@@ -290,6 +305,11 @@ b AS (SELECT *, CASE WHEN rank > 20 THEN 4 WHEN NOT hc THEN 3 WHEN NOT sent THEN
 SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY bucket, CASE WHEN bucket = 0 THEN -s END NULLS LAST, rank))::INT AS rank, bucket::INT AS bucket FROM b""",
     "f9_rerank_check": f"WITH {_DOCS} SELECT qid, count(*) AS n_sent, count(*) FILTER (id % 50 <> 1) AS n_returned, count(*) FILTER (id % 50 = 1) = 0 AS valid FROM y WHERE sent GROUP BY qid",
     "f11_merged_blocks": f'WITH {_HITS} SELECT qid, path, a AS "start", b AS "end", score, md5(content) AS md5 FROM mb',
+    "f10_fragment_gate": f"""WITH {B.CHUNKS}, s AS (SELECT path, "start", substr(content, 1, 4) AS content FROM chunks) SELECT path, "start" FROM s WHERE NOT {NOISE}""",
+    "f12_budget_selection": f'{_FOLD} SELECT qid, path, a AS "start", rank::INT AS rank, bytes, shown FROM sel',
+    "f15_omitted_files": f"""{_FOLD}, o AS (SELECT qid, path, a, b, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM sel s WHERE rank = (SELECT min(rank) FROM sel t WHERE t.qid = s.qid AND t.path = s.path) AND NOT (SELECT bool_or(shown) FROM sel t WHERE t.qid = s.qid AND t.path = s.path))
+SELECT qid, path, a AS "start", b AS "end", place::INT AS place FROM o WHERE place <= 10""",
+    "f16_display_stats": f"{_FOLD} SELECT qid, count(*) AS candidate_blocks, count(*) FILTER (shown) AS shown_blocks, count(DISTINCT path) FILTER (shown) AS shown_files, count(*) FILTER (NOT shown) > 0 AS truncated FROM sel GROUP BY qid",
     "f14_block_headers": f"WITH {_HITS} SELECT qid, path, '## ' || path || ':' || a || '-' || b || CASE WHEN symbol <> '' THEN ' ' || symbol ELSE '' END AS header FROM mb",
     "a4_a15_capabilities": f"""WITH {B.CHUNKS}, l AS (SELECT split_part(path, '/', 3) AS language, CASE WHEN length(symbol) % 5 = 0 THEN 'ast' ELSE 'fallback' END AS c FROM chunks), g AS (SELECT language, CASE WHEN min(c) = max(c) THEN min(c) ELSE 'mixed' END AS c FROM l GROUP BY language)
 SELECT 'chunker[' || string_agg(language || '=' || c, ' ' ORDER BY language || '=' || c) || ']' AS summary FROM g""",

@@ -145,6 +145,9 @@ def _date(c: str) -> str:
     return rf"(NOT regexp_matches({c}, '[^\p{{Nd}}\s\p{{P}}\p{{S}}年月日号时分秒]') AND regexp_matches({c}, '\p{{Nd}}') AND (regexp_matches({c}, '[年月日号时分秒]') OR len(list_filter(string_split({c}, chr(10)), lambda l: regexp_matches(l, '\S'))) >= 3))"
 
 
+NOISE = rf"""({_BODY} = '' OR {_date(_BODY)} OR coalesce(list_sum({_COUNTS}), 0) = 0 OR (len({_COUNTS}) >= 4 AND list_sum({_COUNTS}) <= 32 AND list_max({_COUNTS}) <= 4 AND NOT regexp_matches({_BODY}, '[A-Za-z0-9_]{{3}}')))"""
+
+
 _ONE = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _MESSAGE = "CASE WHEN strlen(one) > 512 THEN left(head, list_max(list_filter(range(0, 513), lambda i: strlen(left(head, i)) <= 512))) || '…' ELSE one END"
 
@@ -165,7 +168,7 @@ SELECT * FROM (SELECT conv_id, turn::BIGINT AS turn, token, token AS x FROM t) W
 array_to_string(list_filter(list_transform(regexp_extract_all(u, '\S+'), lambda x: trim(x, '"''`()[]{}<>,;:!?')), lambda x: strlen(x) >= 6 AND regexp_matches(x, '^-*[A-Za-z0-9]+(-+[A-Za-z0-9]+)+-*$') AND NOT regexp_matches(x, '(^|-)[0-9]+(-|$)'))[1:3], '|') AS compound FROM (SELECT page_id, replace(url, '/', ' ') AS u FROM pages)""",
     "p15_subtree": f"WITH {B.FILES} SELECT path, strlen(content)::INT AS n_bytes FROM files WHERE path = 'docs/src1/en' OR starts_with(path, 'docs/src1/en/')",
     "p17_p18_fragments": rf"""WITH {B.CHUNKS}, s AS (SELECT path, "start", CASE WHEN "start" % 2 = 1 THEN substr(content, 1, 12) ELSE "start" || '年' || chr(10) || '1月' END AS content FROM chunks)
-SELECT path, "start", ({_BODY} = '' OR {_date(_BODY)} OR coalesce(list_sum({_COUNTS}), 0) = 0 OR (len({_COUNTS}) >= 4 AND list_sum({_COUNTS}) <= 32 AND list_max({_COUNTS}) <= 4 AND NOT regexp_matches({_BODY}, '[A-Za-z0-9_]{{3}}'))) AS noise, {_date("content")} AS date_only FROM s""",
+SELECT path, "start", {NOISE} AS noise, {_date("content")} AS date_only FROM s""",
     "p19_path_prior": f"SELECT page_id, {_prior('p')} AS prior, {_prior(chr(39) + 'docs/' + chr(39) + ' || p')} AS docs_prior FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)",
     "p20_tokens": "SELECT doc_id, strlen(text) // 4 + 1 AS tokens FROM documents",
     "p22_coverage": "SELECT source, (count(*) FILTER (n_chars > 500) * 100 // count(*)) || '%' AS coverage FROM documents GROUP BY source",
