@@ -23,7 +23,7 @@ _WS[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes outside words of letters, digits and anything beyond ASCII.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,45 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# --- Python workers' memory -----------------------------------------------------------------
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(fn: Callable) -> Callable:
+    """fn over batches (a generator) or over a group, with trim() when a task or group is done."""
+    import inspect
+    from functools import wraps
+
+    if inspect.isgeneratorfunction(fn):
+
+        @wraps(fn)
+        def run(batches):
+            try:
+                yield from fn(batches)
+            finally:
+                trim()
+    else:
+
+        @wraps(fn)
+        def run(key, group):
+            try:
+                return fn(key, group)
+            finally:
+                trim()
+
+    return run
+
+
 # --- Arrow helpers -------------------------------------------------------------------------
 
 
@@ -83,7 +122,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def cut(batch: pa.RecordBatch, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -147,7 +147,7 @@ def _gram_times(number, term, weight, block: np.ndarray, n_terms: int) -> np.nda
     y = np.zeros((len(starts), block.shape[1]), np.float32)
     for m in np.unique(size):
         rows = np.flatnonzero(size == m)
-        for some in np.array_split(rows, max(1, len(rows) * int(m) // 65_536)):
+        for some in np.array_split(rows, max(1, len(rows) * int(m) // 16_384)):
             at = starts[some][:, None] + np.arange(m)
             y[some] = np.matmul(w[at][:, None, :], block[term[at]])[:, 0]
     row = np.repeat(np.arange(len(starts)), size)
@@ -179,7 +179,7 @@ def _summed(places: DataFrame, fn, width: int) -> np.ndarray:
         np.add.at(out, inverse, data)
         return pa.table({"row": ids, "part": pa.array([x.tobytes() for x in out], pa.binary())})
 
-    parts = places.mapInArrow(part, "row long, part binary").groupBy(F.pmod("row", F.lit(C.partitions(spark))).alias("b")).applyInArrow(add, "row long, part binary")
+    parts = places.mapInArrow(C.lean(part), "row long, part binary").groupBy(F.pmod("row", F.lit(C.partitions(spark))).alias("b")).applyInArrow(add, "row long, part binary")
     found = parts.toArrow()  # one row per term of the block of items: bounded
     size = int(np.max(found.column("row").to_numpy(), initial=-1)) + 1
     out = np.zeros((size, width))
@@ -236,7 +236,7 @@ def latent_basis(places: DataFrame, items: Items, extra: int = 32, seed: int = 7
             if len(number):
                 held.append((number + n, t, _unit(number, (1 + np.log(tf)) * idf[t])))
                 n += int(number[-1]) + 1
-            if n > 100_000:
+            if n > 30_000:
                 total += _gram_times(*(np.concatenate(x) for x in zip(*held)), b32, v)
                 held, n = [], 0
         if held:
@@ -343,7 +343,7 @@ def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_
                 cols = list(zip(*(found[k] for k in keys)))
                 yield C.pa_batch(doc_id=batch.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), item_id=pa.array([ids[k[1]] for k in keys], pa.int64()), start_word=np.array(cols[0], np.int64), end_word=np.array(cols[1], np.int64), cosine=np.array(cols[2]), lcs=np.array(cols[3]), answer=np.array(cols[4]))
 
-    return places.mapInArrow(run, f"doc_id {kind}, item_id long, start_word long, end_word long, cosine double, lcs double, answer double")
+    return places.mapInArrow(C.lean(run), f"doc_id {kind}, item_id long, start_word long, end_word long, cosine double, lcs double, answer double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, items_at_once: int = ITEMS, **limits) -> DataFrame:

@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, grain: int = 8, vocab: str | N
             yield C.pa_batch(doc_id=batch.column(0).take(pa.array(owner, pa.int64())), **named, **extra)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, slot long, _part long, _local long" + ", ids array<int>" * ids
-    return C.stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema), "pieces")
+    return C.stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(C.lean(run), schema), "pieces")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, grain: int = 8, vocab: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

@@ -254,7 +254,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rec = _windows_of(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False), shingle, min_words, functions)
             held.append(rec)
             size += rec.nbytes
-            if size > (24 << 20):
+            if size > (12 << 20):
                 yield _packed(np.concatenate(held), buckets, shingle, min_words)
                 held, size = [], 0
         if size:
@@ -264,7 +264,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rec = np.frombuffer(b"".join(group.column("windows").to_pylist()), WINDOW)
         return pa.table(_meet(rec, shingle, min_words))
 
-    met = whole.mapInArrow(emit, "bucket int, windows binary").groupBy("bucket").applyInArrow(meet, ", ".join(f"{c} long" for c in _MET))
+    met = whole.mapInArrow(C.lean(emit), "bucket int, windows binary").groupBy("bucket").applyInArrow(C.lean(meet), ", ".join(f"{c} long" for c in _MET))
     met = C.stored(met, "shared-windows")
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
@@ -280,7 +280,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start_word": pa.array(cols[1], pa.int64()), "end_word": pa.array(cols[2], pa.int64()), "first_doc_id": pa.array(cols[3], pa.int64()), "exact": pa.array(cols[4], pa.bool_())})
 
     # A document is as large a group as there is; many of them share a bucket to save calls.
-    return met.groupBy(F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")).applyInArrow(merge, "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
+    return met.groupBy(F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")).applyInArrow(C.lean(merge), "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
 
 
 def _reduced(rec: np.ndarray, shingle: int, min_words: int) -> np.ndarray:

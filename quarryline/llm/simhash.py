@@ -27,7 +27,7 @@ _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SHINGLE, _SEED = 4, 42
 #: Variants that one block should hold.
-BLOCK_VARIANTS = 3 << 20
+BLOCK_VARIANTS = 1 << 20
 #: Links up to which components are found by union-find in one task; beyond, by rounds of joins.
 SMALL_LINKS = 1_000_000
 
@@ -134,10 +134,10 @@ def links(distinct: DataFrame, radius: int = 4, block_bits: int | None = None, f
             for at in range(0, batch.num_rows, 4096):
                 yield spread(batch.slice(at, 4096))
 
-    return one.mapInArrow(spread_parts, "block long, fp long, move int").groupBy("block").applyInArrow(meet, "a long, b long")
+    return one.mapInArrow(spread_parts, "block long, fp long, move int").groupBy("block").applyInArrow(C.lean(meet), "a long, b long")
 
 
-def _block_links(fp: np.ndarray, placed: np.ndarray, dist: np.ndarray, free: list[np.ndarray], radius: int, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+def _block_links(fp: np.ndarray, placed: np.ndarray, dist: np.ndarray, free: list[np.ndarray], radius: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of fp whose canonical common variant lies in this block; placed is fp moved into the
     block by dist flips of the block's bits, free the flips of the other bits."""
     half = _half(radius)

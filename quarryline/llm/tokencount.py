@@ -44,7 +44,7 @@ def write_flat(docs: DataFrame, folder: str, vocab: str | None = None, end_id: i
                 at += batch.num_rows
         fs.move(draft, f"{root}/{name}")
 
-    return C.stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"file string, ordinal long, doc_id {kind}"), "flat-order")
+    return C.stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(C.lean(run), f"file string, ordinal long, doc_id {kind}"), "flat-order")
 
 
 def flat_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +79,7 @@ def scan(files: DataFrame, folder: str, end_id: int = EOD, width: int = 2, block
                 yield C.pa_batch(file=pa.array([name] * n, pa.string()), block=np.full(n, block, np.int64), place=np.arange(n, dtype=np.int64), pos=at, prev=pa.array(np.r_[0, at[:-1]][:n], mask=np.arange(n) == 0) if n else pa.array([], pa.int64()))
 
     spread = blocks.repartition(C.partitions(spark), "file", "block")
-    seps = C.stored(spread.mapInArrow(find, "file string, block long, place long, pos long, prev long"), "separators")
+    seps = C.stored(spread.mapInArrow(C.lean(find), "file string, block long, place long, pos long, prev long"), "separators")
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     per_block = seps.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
     carry = per_block.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.coalesce(F.max("last").over(w), F.lit(-1)).alias("since"))

@@ -16,7 +16,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 EOD = 50256
 _RISKY = re.compile(r"  | \n|\n |\n\n\n|\n\n$|^ |^\n| $|[^\S \n]|<\|endoftext\|>|[\ud800-\udfff]")
 #: Units that a Python worker remembers; those met later are encoded each time.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _MADE: dict[tuple[str, bool], "FastBpe"] = {}
 
 

@@ -276,7 +276,7 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
         yield C.pa_batch(term=np.r_[np.arange(v), -1], n=np.r_[df, seen])
 
     # One row per term and task; v is at most max_terms.
-    counted = {r["term"]: r["n"] for r in body.select("_text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counted = {r["term"]: r["n"] for r in body.select("_text").mapInArrow(C.lean(frequency), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([math.log1p(counted.get(-1, 0) / (1 + counted.get(t, 0))) for t in range(v)])
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -328,7 +328,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = m.probability(raw)
             yield C.pa_batch(doc_id=batch.column(0), score=p, predicted=(p >= 0.5).astype(np.int32), evidence=pa.array(near, pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64())]))))
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<example string, similarity double>>")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(C.lean(run), f"doc_id {kind}, score double, predicted int, evidence array<struct<example string, similarity double>>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         else:
             fs.delete_file(draft)
 
-    return C.stored(plain.mapInArrow(run, "file string, records long"), f"archives-{spec}")
+    return C.stored(plain.mapInArrow(C.lean(run), "file string, records long"), f"archives-{spec}")
 
 
 def _write_record(out, page: str | None, url: str | None, payload: bytes, refers: str | None, date: str) -> None:
