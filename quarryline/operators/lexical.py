@@ -122,7 +122,7 @@ def build_clauses(queries: DataFrame, weights: Weights = Weights()) -> DataFrame
     return out
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights = Weights(), prefix: str = "", posted: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights = Weights(), prefix: str = "", posted: DataFrame | None = None, stats: DataFrame | None = None, clauses: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best chunks of each query (qid, query) by score, ties by id.
 
     Clauses are alternatives whose scores add up; a path prefix is applied to the chunks before anything is
@@ -131,7 +131,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights
     fields = tuple(f for f in FIELDS if f in chunks.columns)
     posted = postings(chunks, fields=fields) if posted is None else posted
     stats = field_stats(chunks, fields) if stats is None else stats
-    clauses = build_clauses(queries, weights).filter(F.col("field").isin(*fields))
+    clauses = (build_clauses(queries, weights) if clauses is None else clauses).filter(F.col("field").isin(*fields))
     found = match_scores(clauses.drop("need"), posted, stats)
     need = clauses.groupBy("qid", "clause").agg(F.max("need").alias("need"))
     found = found.join(need, ["qid", "clause"]).filter((F.col("need") == 0) | (F.col("n_terms") == F.col("need"))).select("qid", "id", "score")
@@ -152,12 +152,25 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def lexical_route(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights = Weights(), prefix: str = "", **ready) -> DataFrame:
-    """search() with the structural form of each query; queries that find nothing so are searched as they are."""
-    planned = queries.select("qid", text.lexical_query(F.col("query")).alias("query"))
-    first = search(planned, chunks, k, weights, prefix, **ready)
+def here(df: DataFrame) -> DataFrame:
+    """A result of a few rows as a table of its own, so that plans built on it stay small."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def lexical_route(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights = Weights(), prefix: str = "", few: bool = False, **ready) -> DataFrame:
+    """search() with the structural form of each query; queries that find nothing so are searched as they are.
+    few: the queries are a question at hand; its terms and hits (at most k) pass through the driver."""
+    keep = here if few else lambda d: d
+    planned = keep(queries.select("qid", text.lexical_query(F.col("query")).alias("query")))
+
+    def ask(q: DataFrame) -> DataFrame:
+        return keep(search(q, chunks, k, weights, prefix, clauses=here(build_clauses(q, weights)) if few else None, **ready))
+
+    first = ask(planned)
     changed = queries.join(planned.withColumnRenamed("query", "planned"), "qid").filter(F.col("query") != F.col("planned")).select("qid", "query")
     if not changed.limit(1).count():
         return first
-    missed = changed.join(first.select("qid").distinct(), "qid", "left_anti")
-    return first.unionByName(search(missed, chunks, k, weights, prefix, **ready))
+    missed = keep(changed.join(first.select("qid").distinct(), "qid", "left_anti"))
+    if few and not missed.limit(1).count():
+        return first
+    return first.unionByName(ask(missed))

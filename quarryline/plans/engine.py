@@ -234,14 +234,15 @@ class Engine:
             raise RuntimeError("no usable revision")
         return m
 
-    def candidates(self, directory: str, queries: DataFrame, prefix: str = "") -> tuple[DataFrame, str, str]:
-        """(fused candidates (qid, id, score, rank), mode, reason of degradation) of a table (qid, query)."""
+    def candidates(self, directory: str, queries: DataFrame, prefix: str = "", few: bool = False) -> tuple[DataFrame, str, str]:
+        """(fused candidates (qid, id, score, rank), mode, reason of degradation) of a table (qid, query). few: the
+        table is a question at hand, whose hits may pass through the driver."""
         ws = self.workspace(directory)
         m = self._revision(ws, directory)
         chunks, posted, stats = self._ready(ws, m)
         prefix = text.normalize_prefix(prefix)
         hybrid = self.options.embedder is not None
-        lex = LX.lexical_route(queries, chunks, HYBRID_K if hybrid else LEXICAL_K, self.options.weights, prefix, posted=posted, stats=stats)
+        lex = LX.lexical_route(queries, chunks, HYBRID_K if hybrid else LEXICAL_K, self.options.weights, prefix, few, posted=posted, stats=stats)
         if not hybrid:
             return FU.by_position(lex.select("qid", "id", "rank")), "lexical", ""
         dense, reason = self._dense(ws, m, queries, chunks, prefix)
@@ -249,9 +250,11 @@ class Engine:
             if self.options.deny_degraded:
                 raise RuntimeError(reason)
             return FU.by_position(lex.select("qid", "id", "rank")), "lexical", reason
+        if few:
+            dense = LX.here(dense)
         hits = lex.select("qid", F.lit("lexical").alias("route"), "rank", "id").unionByName(dense.select("qid", F.lit("dense").alias("route"), "rank", "id"))
         fused = FU.rrf(hits, self.options.fusion).select("qid", "id", "rank")
-        fused = FU.anchor(fused, lex.filter("rank = 1").select("qid", "id"), HEAD)
+        fused = FU.anchor(LX.here(fused) if few else fused, lex.filter("rank = 1").select("qid", "id"), HEAD)
         return FU.by_position(fused), "hybrid", reason
 
     def _dense(self, ws: Workspace, m: ST.Manifest, queries: DataFrame, chunks: DataFrame, prefix: str) -> tuple[DataFrame | None, str]:
@@ -285,10 +288,10 @@ class Engine:
         t0 = time.time()
         ws = self.workspace(directory)
         q = self.spark.createDataFrame([("q", query)], "qid string, query string")
-        found, mode, reason = self.candidates(directory, q, prefix)
+        found, mode, reason = self.candidates(directory, q, prefix, few=True)
         m = ws.store.usable()
         chunks, _, _ = self._ready(ws, m)
-        hits = found.join(chunks, "id").orderBy("rank").collect()  # at most 2 * HYBRID_K rows
+        hits = LX.here(found).join(chunks, "id").orderBy("rank").collect()  # at most 2 * HYBRID_K rows
         sent, reranked = 0, False
         if self.options.reranker and hits:
             hits, sent, reranked, why = self._rerank(query, hits)
