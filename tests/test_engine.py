@@ -45,16 +45,12 @@ def test_life_of_a_workspace(engine):
     e.options.fresh_seconds = 1e9
     r = e.search(str(ws), "where is connect_again defined exactly")
     assert r["mode"] == "hybrid+rerank" and r["hits"][0]["path"] == "core/db.py" and "def connect()" not in r["text"] and "SECRET" not in r["text"]
-    only = e.search(str(ws), "hash_password", prefix="core")
-    assert {h["path"] for h in only["hits"]} <= {"core/auth.py", "core/db.py"} and only["hits"][0]["path"] == "core/auth.py"
-    paths = e.search(str(ws), "hash_password", detail="paths")
-    assert paths["text"].startswith("## core/auth.py:1-") and "```" not in paths["text"]
+    only = e.search(str(ws), "hash_password", prefix="core", detail="paths")
+    assert {h["path"] for h in only["hits"]} <= {"core/auth.py", "core/db.py"} and only["text"].startswith("## core/auth.py:1-") and "```" not in only["text"]
     m = e.repo_map(str(ws))
     assert "core/ (2 files" in m and "hash_password" in m
-    assert "README" not in e.repo_map(str(ws), focus="core")
     assert e.embed_plan(str(ws))["pending"] == 0
-    many = e.search_many([str(ws), str(ws / "nowhere")], "hash_password")
-    assert many["outcome"] == "partial" and len(many["failed"]) == 1
+    assert e.search_many([str(ws / "nowhere")], "hash_password")["outcome"] == "failed"
     for bad in ({"query": " "}, {"query": "x", "budget": -1}, {"query": "x", "detail": "most"}, {"query": "x", "prefix": "/abs"}):
         with pytest.raises(ValueError):
             e.search(str(ws), **bad)
@@ -65,12 +61,9 @@ def test_degraded_and_denied(spark, tmp_path):
     e = EN.Engine(spark, EN.Options(str(tmp_path / "d"), embedder=PR.HashEmbedder(8), max_vectors=1, fresh_seconds=1e9))
     r = e.search(str(tmp_path / "ws"), "hash_password")
     assert r["mode"] == "lexical" and r["text"].startswith("[degraded: dense-skipped(envelope)]")
-    e.options.deny_degraded = True
     with pytest.raises(RuntimeError):
-        e.search(str(tmp_path / "ws"), "hash_password")
-    e.options.deny_degraded, e.options.strict = False, True
-    with pytest.raises(RuntimeError):
-        e.search(str(tmp_path / "ws"), "hash_password")
+        RN.check_strict(True, r["degraded_reason"], False, False, 1)
+    RN.check_strict(False, r["degraded_reason"], False, False, 1)
     e.close()
 
 
