@@ -30,7 +30,7 @@ from . import common as C
 _U = np.uint64
 SHINGLE, MIN_WORDS, FUNCTIONS, STEP = 8, 50, 3, 6
 _REACH = 7  # graded distances to either side, STEP words each
-WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("room_l", "u1"), ("room_r", "u1"), ("fn", "u1"), ("told", "u1"), ("ctx_l", "<u2", _REACH), ("ctx_r", "<u2", _REACH)])
+WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("room_l", "u1"), ("room_r", "u1"), ("fn", "u1"), ("told", "u1"), ("ctx_l", "<u4", _REACH), ("ctx_r", "<u4", _REACH)])
 _SEEDS = [_U(x | 1) for x in (0x8E3F5B1C9D2A7741, 0xD1B54A32D192ED03, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6BC279692B5CC83, 0xE7037ED1A0B428DB)]
 
 
@@ -123,19 +123,22 @@ def _windows_of(col: pa.Array, ids: np.ndarray, shingle: int, min_words: int, fu
         for k in range(_REACH):
             dist = STEP * (k + 1)
             lo = np.maximum(at - dist, 0)
-            rec["ctx_l"][:, k] = np.where(before >= dist, C.mix((sums[at] - sums[lo]) * back[lo]) >> _U(48), _U(0)).astype(np.uint16)
+            rec["ctx_l"][:, k] = np.where(before >= dist, C.mix((sums[at] - sums[lo]) * back[lo]) >> _U(32), _U(0)).astype(np.uint32)
             end = np.minimum(at + shingle + dist, n)
-            rec["ctx_r"][:, k] = np.where(after >= dist, C.mix((sums[end] - sums[at + shingle]) * back[at + shingle]) >> _U(48), _U(0)).astype(np.uint16)
+            rec["ctx_r"][:, k] = np.where(after >= dist, C.mix((sums[end] - sums[at + shingle]) * back[at + shingle]) >> _U(32), _U(0)).astype(np.uint32)
         out.append(rec)
     return np.concatenate(out) if out else np.zeros(0, WINDOW)
 
 
 def _combine(rec: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows with i graded distances on the left and j on the right, hash of pivot and both contexts)."""
+    """(rows with i graded distances on the left and j on the right, hash of pivot and both contexts). All
+    distances up to those count, so that in a hot group two hashes that are equal by chance add a step at most."""
     ok = np.flatnonzero((rec["room_l"] >= STEP * i) & (rec["room_r"] >= STEP * j))
     h = rec["key"][ok].copy()
-    h = C.mix(h + (rec["ctx_l"][ok, i - 1].astype(_U) << _U(20)) + _U(i)) if i else h
-    h = C.mix(h + (rec["ctx_r"][ok, j - 1].astype(_U) << _U(40)) + _U(j + 100)) if j else h
+    for k in range(i):
+        h = C.mix(h + (rec["ctx_l"][ok, k].astype(_U) << _U(20)) + _U(k + 1))
+    for k in range(j):
+        h = C.mix(h + (rec["ctx_r"][ok, k].astype(_U) << _U(20)) + _U(k + 101))
     return ok, h
 
 
@@ -181,8 +184,7 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
         other = rec["doc"] != one["doc"]
         put(rec[other], (at - lo)[other], (at + hi + shingle)[other], one["doc"][other], 0, (at - one["at"])[other])
         reach = -(-(min_words - shingle - STEP) // STEP)
-        best_l, best_r = np.full(n, -1), np.full(n, -1)
-        mate = np.full(n, np.iinfo(np.int64).max)
+        found = []
         for i in range(min(reach, _REACH) + 1):
             j = reach - i
             if not 0 <= j <= _REACH:
@@ -195,12 +197,20 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
             s, z = _groups(h)
             d = rec["doc"][ok]
             shared = np.repeat(d[s] != d[s + z - 1], z)
-            hit = ok[shared]
-            best_l[hit] = np.maximum(best_l[hit], i)
-            best_r[hit] = np.maximum(best_r[hit], j)
-            mate[hit] = np.minimum(mate[hit], np.repeat(d[s], z)[shared])
-        hit = np.flatnonzero(best_l >= 0)
-        put(rec[hit], at[hit] - STEP * best_l[hit], at[hit] + shingle + STEP * best_r[hit], mate[hit], 1, np.zeros(len(hit)))
+            found.append((ok[shared], np.repeat(d[s], z)[shared], i, j))
+        if found:
+            # A row per window and first document: what one of them shares on the left, another may not on the right.
+            hit = np.concatenate([x[0] for x in found])
+            mate = np.concatenate([x[1] for x in found])
+            sides = [np.concatenate([np.full(len(x[0]), x[k]) for x in found]) for k in (2, 3)]
+            o = np.lexsort((mate, hit))
+            hit, mate = hit[o], mate[o]
+            new = np.ones(len(hit), bool)
+            new[1:] = (hit[1:] != hit[:-1]) | (mate[1:] != mate[:-1])
+            s = np.flatnonzero(new)
+            if len(s):
+                best_l, best_r = (np.maximum.reduceat(x[o], s) for x in sides)
+                put(rec[hit[s]], at[hit[s]] - STEP * best_l, at[hit[s]] + shingle + STEP * best_r, mate[s], 1, np.zeros(len(s)))
     return {k: np.concatenate(v) for k, v in cols.items()}
 
 
@@ -223,15 +233,48 @@ def _runs(g: dict[str, np.ndarray], doc: int, shingle: int, min_words: int, func
             if hi - lo >= min_words and len(set(f[a:b].tolist())) * 2 > functions and pivots >= functions and pivots >= agree * due:
                 spans.append((lo, hi, int(m[a]), False))
     spans.sort()
-    out: list[list] = []
+    together: list[list] = []
+    far = -1
+    for span in spans:
+        if not together or span[0] > far:
+            together.append([])
+            far = span[1]
+        together[-1].append(span)
+        far = max(far, span[1])
+    out: list[tuple[int, int, int, bool]] = []
+    for part in together:
+        if max(b for _, b, _, _ in part) - part[0][0] >= min_words - STEP + 2:
+            out += _by_first(part, doc)
+    return out
+
+
+def _by_first(spans: list[tuple[int, int, int, bool]], doc: int) -> list[tuple[int, int, int, bool]]:
+    """Spans that touch or overlap, cut into intervals whose words have the same first document: the smallest
+    of the spans that cover them, not of all, since a document that has one end needn't have the other."""
+    edges = np.unique([x for a, b, _, _ in spans for x in (a, b)])
+    first, exact = np.full(len(edges) - 1, doc, np.int64), np.zeros(len(edges) - 1, bool)
     for a, b, m, e in spans:
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-            out[-1][2] = min(out[-1][2], m)
-            out[-1][3] = out[-1][3] or e
-        else:
-            out.append([a, b, m, e])
-    return [(a, b, min(m, doc), e) for a, b, m, e in out if b - a >= min_words - STEP + 2]
+        i, j = np.searchsorted(edges, (a, b))
+        first[i:j] = np.minimum(first[i:j], m)
+        exact[i:j] |= e
+    start = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
+    stop = np.r_[start[1:], len(first)]
+    rows = [(int(edges[i]), int(edges[j]), int(first[i]), bool(exact[i:j].any())) for i, j in zip(start, stop)]
+    # Ends are graded. A rest within two steps of them is no row of its own: if another document has it, it goes
+    # with what is cut beside it; if this is the first, it stays uncut.
+    out: list[tuple[int, int, int, bool]] = []
+    for k, (a, b, m, e) in enumerate(rows):
+        if b - a <= 2 * STEP and len(rows) > 1:
+            if m == doc:
+                continue
+            if out and out[-1][1] == a and out[-1][2] != doc:
+                out[-1] = (out[-1][0], b, out[-1][2], out[-1][3])
+                continue
+            if k + 1 < len(rows) and rows[k + 1][2] != doc:
+                rows[k + 1] = (a, *rows[k + 1][1:])
+                continue
+        out.append((a, b, m, e))
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, functions: int = FUNCTIONS, agree: float = 0.5) -> DataFrame:
@@ -239,7 +282,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     another document has too; words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered, counted from 0, end excluded.
 
     first_doc_id is the smallest id that the passage was linked to where they met, the row's own included;
-    it is the row's own only for the smallest id of all that have the passage, which links lead to. Ends are exact to within
+    it is the row's own only for the smallest id of all that have the passage, which links lead to. Passages
+    that touch or overlap are one row as long as that id is the same, and rows of their own from where it
+    changes; such a row may be shorter than a passage. Ends are exact to within
     the graded distances (6 words); exact passages of min_words + 4 words or more are always found, shorter
     ones almost always, runs of near-duplicates with a probability that grows with their agreement. Ids are
     integers; rows of one id are one document; rows with a null id or text, and texts under min_words

@@ -110,6 +110,16 @@ def test_one_copy_of_each_passage_stays(docs_of, prose):
     assert [r["doc_id"] for r in copies] == [1]
 
 
+def test_chain_of_overlapping_passages_loses_no_word(docs_of, prose):
+    s = [prose(30, 7000 + i) for i in range(10)]
+    docs = [(1, prose(60, 1) + " " + " ".join(s[:6])), (5, " ".join(s)), (9, " ".join(s[4:]) + " " + prose(60, 9))]
+    got = {r["doc_id"]: r["text"].split() for r in P.without_repeats(docs_of(docs)).collect()}
+    had = {w for _, t in docs for w in t.split()}
+    assert {w for t in got.values() for w in t} == had
+    assert got[1] == docs[0][1].split()  # the first document of the chain stays whole
+    assert len(got[5]) < 130 and len(got[9]) < 75
+
+
 def test_query_against_brute_force(spark, sf):
     docs = [(r["doc_id"], (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     exact = {r["doc_id"] for r in P.query(spark, sf).collect() if r["exact"]}
