@@ -30,6 +30,7 @@ from . import common as C
 _U = np.uint64
 SHINGLE, MIN_WORDS, FUNCTIONS, STEP = 8, 50, 3, 6
 _REACH = 7  # graded distances to either side, STEP words each
+_APART = 36  # words of a stretch of one repeated shingle that one pivot stands for; a pivot reaches as far to either side
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("room_l", "u1"), ("room_r", "u1"), ("fn", "u1"), ("told", "u1"), ("ctx_l", "<u4", _REACH), ("ctx_r", "<u4", _REACH)])
 _SEEDS = [_U(x | 1) for x in (0x8E3F5B1C9D2A7741, 0xD1B54A32D192ED03, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6BC279692B5CC83, 0xE7037ED1A0B428DB)]
 
@@ -107,11 +108,14 @@ def _windows_of(col: pa.Array, ids: np.ndarray, shingle: int, min_words: int, fu
         low, c, high = compact_windows(h, t, own)
         if not len(c):
             continue
-        # Runs of one repeated shingle give a pivot at every place: every 16th says the same.
+        # Runs of one repeated shingle give a pivot in every period: the first in each stretch of _APART words
+        # and the run's last are kept, so that what they cover has no gaps.
         same = np.zeros(len(c), bool)
         same[1:] = (h[c[1:]] == h[c[:-1]]) & (own[c[1:]] == own[c[:-1]]) & (c[1:] - c[:-1] < t // 2)
-        run = np.arange(len(c)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(c))))
-        keep = run % 16 == 0
+        begin = c[np.maximum.accumulate(np.where(same, 0, np.arange(len(c))))]
+        stretch = (c - begin) // _APART
+        keep = ~same | ~np.r_[same[1:], False]
+        keep[1:] |= stretch[1:] != stretch[:-1]
         low, c, high = low[keep], c[keep], high[keep]
         at = place[c]
         d = own[c]

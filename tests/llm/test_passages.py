@@ -110,6 +110,17 @@ def test_one_copy_of_each_passage_stays(docs_of, prose):
     assert [r["doc_id"] for r in copies] == [1]
 
 
+@pytest.mark.parametrize("period", [1, 2, 7, 10, 12, 16, 20, 30, 45])
+def test_repeated_lines_are_covered_without_gaps(docs_of, prose, period):
+    line = prose(period, 40 + period)
+    times = 720 // period
+    docs = [(1, prose(100, 1) + (" " + line) * times + " " + prose(70, 2)), (2, prose(63, 3) + (" " + line) * times + " " + prose(90, 4))]
+    got = {r["doc_id"]: (r["start_word"], r["end_word"], r["first_doc_id"]) for r in P.repeated_passages(docs_of(docs)).collect()}
+    n = period * times
+    for i, at in ((1, 100), (2, 63)):
+        assert at <= got[i][0] <= at + 6 and at + n - 6 <= got[i][1] <= at + n and got[i][2] == 1
+
+
 def test_chain_of_overlapping_passages_loses_no_word(docs_of, prose):
     s = [prose(30, 7000 + i) for i in range(10)]
     docs = [(1, prose(60, 1) + " " + " ".join(s[:6])), (5, " ".join(s)), (9, " ".join(s[4:]) + " " + prose(60, 9))]
