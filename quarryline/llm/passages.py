@@ -32,6 +32,8 @@ SHINGLE, MIN_WORDS, FUNCTIONS, STEP = 8, 50, 3, 6
 _REACH = 7  # graded distances to either side, STEP words each
 _APART = 36  # words of a stretch of one repeated shingle that one pivot stands for; a pivot reaches as far to either side
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("room_l", "u1"), ("room_r", "u1"), ("fn", "u1"), ("told", "u1"), ("ctx_l", "<u4", _REACH), ("ctx_r", "<u4", _REACH)])
+#: A near-duplicate passage is kept if this share of its words lies in sequences of COMMON words that the other's passage has.
+VERIFIED, COMMON = 0.6, 4
 _SEEDS = [_U(x | 1) for x in (0x8E3F5B1C9D2A7741, 0xD1B54A32D192ED03, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6BC279692B5CC83, 0xE7037ED1A0B428DB)]
 
 
@@ -171,7 +173,7 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
     told = rec[rec["told"] == 1]  # met already in the task that read them; key holds the other document
     at = told["at"].astype(np.int64)
     for exact in (0, 1):
-        put(told, at - room(told, "l"), at + shingle + room(told, "r"), told["key"].view(np.int64) if len(told) else at, exact, np.zeros(len(told)))
+        put(told, at - room(told, "l"), at + shingle + room(told, "r"), told["key"].view(np.int64) if len(told) else at, exact, at - told["ctx_l"][:, 0])
     rec = rec[rec["told"] == 0]
     rec = rec[np.lexsort((rec["at"], rec["doc"], rec["key"]))]
     start, size = _groups(rec["key"])
@@ -218,24 +220,81 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
     return {k: np.concatenate(v) for k, v in cols.items()}
 
 
-def _runs(g: dict[str, np.ndarray], doc: int, shingle: int, min_words: int, functions: int, agree: float) -> list[tuple[int, int, int, bool]]:
-    """The passages (start, end, first document, exact) of one document."""
+def _proposed(g: dict[str, np.ndarray], doc: int, shingle: int, min_words: int, functions: int, agree: float) -> list[tuple[int, int, int, int, int]]:
+    """The near-duplicate passages (start, end, other document, its start, its end) that one document's
+    windows speak for, without those that exact spans cover; their words are still to be compared."""
     exact = g["exact"] == 1
-    spans = [(int(a), int(b), int(m), True) for a, b, m in zip(g["start"][exact], g["end"][exact], g["mate"][exact])]
     loose = np.flatnonzero(~exact & (g["mate"] != doc))
-    if len(loose):
-        t = min_words - shingle + 1
-        loose = loose[np.lexsort((g["pivot"][loose], g["mate"][loose]))]
-        m, p, s, f = g["mate"][loose], g["pivot"][loose], g["shift"][loose], g["fn"][loose]
-        cut = np.ones(len(loose), bool)
-        cut[1:] = (m[1:] != m[:-1]) | (p[1:] - p[:-1] > t) | (np.abs(s[1:] - s[:-1]) > 12)
-        at = np.flatnonzero(cut)
-        for a, b in zip(at, np.r_[at[1:], len(loose)]):
-            lo, hi = int(p[a]), int(p[b - 1]) + shingle
-            pivots = len(set(zip(f[a:b].tolist(), p[a:b].tolist())))
-            due = functions * 2 * max(hi - lo - shingle, 1) / (t + 1)
-            if hi - lo >= min_words and len(set(f[a:b].tolist())) * 2 > functions and pivots >= functions and pivots >= agree * due:
-                spans.append((lo, hi, int(m[a]), False))
+    if not len(loose):
+        return []
+    out = []
+    t = min_words - shingle + 1
+    loose = loose[np.lexsort((g["pivot"][loose], g["mate"][loose]))]
+    m, p, s, f = g["mate"][loose], g["pivot"][loose], g["shift"][loose], g["fn"][loose]
+    cut = np.ones(len(loose), bool)
+    cut[1:] = (m[1:] != m[:-1]) | (p[1:] - p[:-1] > t) | (np.abs(s[1:] - s[:-1]) > 12)
+    at = np.flatnonzero(cut)
+    for a, b in zip(at, np.r_[at[1:], len(loose)]):
+        lo, hi = int(p[a]), int(p[b - 1]) + shingle
+        pivots = len(set(zip(f[a:b].tolist(), p[a:b].tolist())))
+        due = functions * 2 * max(hi - lo - shingle, 1) / (t + 1)
+        if hi - lo >= min_words and len(set(f[a:b].tolist())) * 2 > functions and pivots >= functions and pivots >= agree * due:
+            known = exact & (g["mate"] <= m[a])
+            if not _covered(g["start"][known], g["end"][known], lo, hi):
+                there = p[a:b] - s[a:b]
+                out.append((lo, hi, int(m[a]), int(there.min()), int(there.max()) + shingle))
+    return out
+
+
+def _covered(start: np.ndarray, end: np.ndarray, lo: int, hi: int) -> bool:
+    """Whether the spans cover [lo, hi) without a gap."""
+    order = np.argsort(start, kind="stable")
+    start, far = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    first = np.flatnonzero(np.r_[True, start[1:] > far[:-1]]) if len(start) else np.zeros(0, np.int64)
+    k = int(np.searchsorted(start[first], lo, side="right")) - 1
+    return k >= 0 and int(far[first[k + 1] - 1] if k + 1 < len(first) else far[-1]) >= hi
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of a's words (hashes) that lie in sequences of COMMON words that b has too."""
+    if len(a) < COMMON or len(b) < COMMON:
+        return 0.0
+    hit = np.flatnonzero(np.isin(C.gram_hash(a, COMMON), C.gram_hash(b, COMMON)))
+    told = np.zeros(len(a) + 1, np.int64)
+    np.add.at(told, hit, 1)
+    np.add.at(told, hit + COMMON, -1)
+    return float((np.cumsum(told[:-1]) > 0).mean())
+
+
+def _verified(spark, whole: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(doc, start, end, mate, exact) of the proposed near-duplicates whose words agree: both documents' words
+    of each are read and compared."""
+    what = ("doc", "start", "end", "mate")
+    side = lambda k, of, lo, hi: proposed.select(F.col(of).alias("__of"), F.struct(F.lit(k).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), *what).alias("need"))
+    needs = side(0, "doc", "start", "end").unionByName(side(1, "mate", "mate_start", "mate_end")).groupBy("__of").agg(F.collect_list("need").alias("needs"))
+    needs = C.stored(needs, "compared-words")
+    texts = whole.join(C.if_small(needs), F.col("id") == F.col("__of")).select("text", "needs")
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        w = C.Words(batch.column(0), lower=True)
+        rows = [(w.hash[w.of[i] + min(n["lo"], w.of[i + 1] - w.of[i]) : min(w.of[i] + n["hi"], w.of[i + 1])].astype("<u8").tobytes(), n) for i, x in enumerate(batch.column(1).to_pylist()) for n in x]
+        return C.pa_batch(**{c: pa.array([n[c] for _, n in rows], pa.int64()) for c in what}, side=pa.array([n["side"] for _, n in rows], pa.int32()), words=pa.array([x for x, _ in rows], pa.binary()))
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        sides: dict[tuple, tuple[list, list]] = {}
+        for *of, k, words in zip(*(group.column(c).to_pylist() for c in (*what, "side", "words"))):
+            sides.setdefault(tuple(of), ([], []))[k].append(np.frombuffer(words, "<u8"))
+        kept = [of for of, (a, b) in sides.items() if any(agreement(x, y) >= VERIFIED for x in a for y in b)]  # an id may have several rows
+        return pa.table({c: pa.array([of[i] for of in kept], pa.int64()) for i, c in enumerate(what)} | {"exact": pa.array([0] * len(kept), pa.int64())})
+
+    words = C.arrow_map(texts, read, ", ".join(f"{c} long" for c in what) + ", side int, words binary")
+    bucket = F.pmod(F.hash(*what), F.lit(4 * C.partitions(spark))).alias("bucket")
+    return words.groupBy(bucket).applyInArrow(C.lean(compare), ", ".join(f"{c} long" for c in (*what, "exact")))
+
+
+def _runs(g: dict[str, np.ndarray], doc: int, min_words: int) -> list[tuple[int, int, int, bool]]:
+    """The passages (start, end, first document, exact) of one document."""
+    spans = [(int(a), int(b), int(m), e == 1) for a, b, m, e in zip(g["start"], g["end"], g["mate"], g["exact"])]
     spans.sort()
     together: list[list] = []
     far = -1
@@ -290,7 +349,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     that touch or overlap are one row as long as that id is the same, and rows of their own from where it
     changes; such a row may be shorter than a passage. Ends are exact to within
     the graded distances (6 words); exact passages of min_words + 4 words or more are always found, shorter
-    ones almost always, runs of near-duplicates with a probability that grows with their agreement. Ids are
+    ones almost always, runs of near-duplicates with a probability that grows with their agreement; those are
+    kept only if, both documents' words compared, at least VERIFIED (60 %) of the run's words lie in sequences
+    of COMMON (4) words that the other document's run has too. Ids are
     integers; rows of one id are one document; rows with a null id or text, and texts under min_words
     words, have no passages. Only id and text are read; an empty table gives an empty one."""
     spark = docs.sparkSession
@@ -316,20 +377,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = whole.mapInArrow(C.lean(emit), "bucket int, windows binary").groupBy("bucket").applyInArrow(C.lean(meet), ", ".join(f"{c} long" for c in _MET))
     met = C.stored(met, "shared-windows")
 
+    def each(g: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+        cols = {k: g.column(k).to_numpy() for k in g.column_names}
+        order = np.argsort(cols["doc"], kind="stable")
+        cols = {k: v[order] for k, v in cols.items()}
+        ids, at = np.unique(cols["doc"], return_index=True)
+        for d, a, b in zip(ids.tolist(), at, np.r_[at[1:], len(order)]):
+            yield d, {k: v[a:b] for k, v in cols.items()}
+
+    def propose(key: tuple, group: pa.Table) -> pa.Table:
+        rows = [(d, *x) for d, part in each(group) for x in _proposed(part, d, shingle, min_words, functions, agree)]
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc", "start", "end", "mate", "mate_start", "mate_end"), cols)})
+
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        g = {k: group.column(k).to_numpy() for k in group.column_names}
-        order = np.argsort(g["doc"], kind="stable")
-        g = {k: v[order] for k, v in g.items()}
-        ids, at = np.unique(g["doc"], return_index=True)
-        rows = []
-        for d, a, b in zip(ids.tolist(), at, np.r_[at[1:], len(g["doc"])]):
-            part = {k: v[a:b] for k, v in g.items()}
-            rows += [(d, *x) for x in _runs(part, d, shingle, min_words, functions, agree)]
+        rows = [(d, *x) for d, part in each(group) for x in _runs(part, d, min_words)]
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start_word": pa.array(cols[1], pa.int64()), "end_word": pa.array(cols[2], pa.int64()), "first_doc_id": pa.array(cols[3], pa.int64()), "exact": pa.array(cols[4], pa.bool_())})
 
     # A document is as large a group as there is; many of them share a bucket to save calls.
-    return met.groupBy(F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")).applyInArrow(C.lean(merge), "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
+    bucket = F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")
+    proposed = C.stored(met.groupBy(bucket).applyInArrow(C.lean(propose), "doc long, start long, end long, mate long, mate_start long, mate_end long"), "near-duplicates")
+    spans = met.filter("exact = 1").select("doc", "start", "end", "mate", "exact").unionByName(_verified(spark, whole, proposed))
+    return spans.groupBy(bucket).applyInArrow(C.lean(merge), "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
 
 
 def _reduced(rec: np.ndarray, shingle: int, min_words: int) -> np.ndarray:
@@ -354,6 +424,7 @@ def _reduced(rec: np.ndarray, shingle: int, min_words: int) -> np.ndarray:
     rows = wide[order[tell]]
     rec["told"][rows] = 1
     rec["key"][rows] = lowest[tell].view(_U)
+    rec["ctx_l"][rows, 0] = np.repeat(r["at"][order][start], size)[tell]  # where the lowest has it
     return rec
 
 

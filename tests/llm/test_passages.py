@@ -110,6 +110,19 @@ def test_one_copy_of_each_passage_stays(docs_of, prose):
     assert [r["doc_id"] for r in copies] == [1]
 
 
+def test_near_duplicates_are_compared_word_by_word(docs_of, prose, monkeypatch):
+    """Twelve shared words in every 30 speak for a run by their pivots; most words are others."""
+    r = [prose(12, 600 + i) for i in range(12)]
+    docs = [(k, " ".join(x + " " + prose(18, 100 * k + i) for i, x in enumerate(r))) for k in (1, 2)]
+    a, b = (np.array([hash(w) for w in t.split()], np.int64).view(np.uint64) for _, t in docs)
+    assert 0.35 < P.agreement(a, b) < 0.45 and P.agreement(a, a) == 1 and P.agreement(a[:3], b) == 0
+    base = prose(300, 77).split()
+    edited = [w if i % 25 else "changed" + str(i) for i, w in enumerate(base)]
+    docs += [(3, " ".join(base)), (4, " ".join(edited))]
+    got = {x["doc_id"] for x in P.repeated_passages(docs_of(docs), agree=0.1).collect()}
+    assert got == {4}
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 10, 12, 16, 20, 30, 45])
 def test_repeated_lines_are_covered_without_gaps(docs_of, prose, period):
     line = prose(period, 40 + period)
