@@ -204,10 +204,18 @@ def embed_rate(progress: DataFrame) -> DataFrame:
 
 def prunable_tasks(tasks: DataFrame, most: int, now: str, protect_days: int = 7) -> DataFrame:
     """(id) of the finished tasks to forget so that at most `most` stay: the oldest first; tasks that ended with
-    the process are kept for protect_days."""
+    the process are kept for protect_days.
+
+    Counts are taken per minute first, so the ordered pass has a row per minute; only the minute in which the
+    limit falls is ordered row by row."""
     guarded = F.col("error").isin("shutdown", "abandoned after daemon restart")
     old = F.coalesce("completed_at", "submitted_at") < F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {protect_days} DAYS")
     ok = F.col("state").isin("completed", "failed", "cancelled") & (~F.coalesce(guarded, F.lit(False)) | F.coalesce(old, F.lit(False)))
     over = tasks.agg((F.count(F.lit(1)) - most).alias("_over"))
-    ranked = tasks.filter(ok).withColumn("_r", F.row_number().over(Window.orderBy("submitted_at", "id")))  # a job registry: thousands of rows
-    return ranked.join(over, F.col("_r") <= F.col("_over")).select("id")
+    done = tasks.filter(ok).withColumn("_b", F.coalesce(F.floor(F.unix_micros(F.col("submitted_at").cast("timestamp")) / 60_000_000), F.lit(-(1 << 62))))  # no time sorts first
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = done.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    minutes = minutes.join(over, F.col("_n0") < F.col("_over")).withColumn("_whole", F.col("_n0") + F.col("_n") <= F.col("_over"))
+    j = done.join(minutes, "_b")
+    last = j.filter("NOT _whole").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("submitted_at", "id")))
+    return j.filter("_whole").select("id").unionByName(last.filter(F.col("_n0") + F.col("_r") <= F.col("_over")).select("id"))

@@ -57,6 +57,15 @@ def j12_i10_unreferenced(spark, sf):
     return MT.unreferenced(s, m)
 
 
+def j12_i10_unreferenced_all(spark, sf):
+    """Every event is a segment and a revision that names two."""
+    e = B.table(spark, sf, "events")
+    s = e.select(F.concat(F.lit("seg"), F.col("event_id").cast("string")).alias("id"))
+    named = lambda n: F.concat(F.lit("seg"), n.cast("string"))
+    m = e.select(F.col("event_id").alias("revision"), F.array(named(F.col("user_id")), named(F.floor(F.col("event_id") * 7 / 10))).alias("segments"))
+    return MT.unreferenced(s, m)
+
+
 def u2_tombstones(spark, sf):
     prev = _half(spark, sf, False).filter("deleted")
     cur = _half(spark, sf, True)
@@ -177,9 +186,16 @@ def t5_governor(spark, sf):
     return RL.governor_trace(e.select((F.col("user_id") % 50).alias("key"), "ts", "event_id", out.alias("outcome"), (F.col("event_id") % 3000).alias("tokens"), F.coalesce("value", F.lit(0.0)).alias("latency")))
 
 
+def _tasks(events):
+    return events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "running").otherwise("completed").alias("state"), F.when(F.col("event_id") % 5 == 0, "shutdown").otherwise("").alias("error"), F.col("ts").alias("submitted_at"), F.lit(None).cast("timestamp").alias("completed_at"))
+
+
 def t8_prunable(spark, sf):
-    e = B.table(spark, sf, "events").filter("event_id < 500").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "running").otherwise("completed").alias("state"), F.when(F.col("event_id") % 5 == 0, "shutdown").otherwise("").alias("error"), F.col("ts").alias("submitted_at"), F.lit(None).cast("timestamp").alias("completed_at"))
-    return MT.prunable_tasks(e, 300, "2024-01-05 00:00:00")
+    return MT.prunable_tasks(_tasks(B.table(spark, sf, "events").filter("event_id < 500")), 300, "2024-01-05 00:00:00")
+
+
+def t8_prunable_all(spark, sf):
+    return MT.prunable_tasks(_tasks(B.table(spark, sf, "events")), 300, "2024-01-05 00:00:00")
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -248,7 +264,7 @@ def j8_contained_qrels(spark, sf):
     return B.qrels(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (j1_i15_diff, j2_reused_chunks, j3_w4_live_rows, j4_vector_priority, j5_pending_keys, j12_i10_unreferenced, u2_tombstones, a1_live_counts, a2_garbage, a3_covered, i1_build_modes, s13_stat_cache, a10_embed_plan, a11_import, a12_outcomes, a13_rate, a14_first_seen, i5_zero_chunk_files, i18_best_profile, i19_journal, i21_batch, t2_backoff, t3_circuit, t4_minute_budget, t5_ewma, t5_governor, t8_prunable, e1_e7_per_query, e8_grouped, e9_bootstrap, e10_first_hit, e11_unscored, e12_sweep, j7_w2_documents, j8_contained_qrels)}
+QUERIES = {f.__name__: f for f in (j1_i15_diff, j2_reused_chunks, j3_w4_live_rows, j4_vector_priority, j5_pending_keys, j12_i10_unreferenced, j12_i10_unreferenced_all, u2_tombstones, a1_live_counts, a2_garbage, a3_covered, i1_build_modes, s13_stat_cache, a10_embed_plan, a11_import, a12_outcomes, a13_rate, a14_first_seen, i5_zero_chunk_files, i18_best_profile, i19_journal, i21_batch, t2_backoff, t3_circuit, t4_minute_budget, t5_ewma, t5_governor, t8_prunable, t8_prunable_all, e1_e7_per_query, e8_grouped, e9_bootstrap, e10_first_hit, e11_unscored, e12_sweep, j7_w2_documents, j8_contained_qrels)}
 
 _NEW = "cur AS (SELECT DISTINCT ON (path) * FROM snaps ORDER BY path, seg_ord DESC), prev AS (SELECT DISTINCT ON (path) * FROM snaps WHERE event_id % 2 = 0 ORDER BY path, seg_ord DESC)"
 _S = f"WITH {B.SNAPSHOTS}, {_NEW}"
@@ -285,6 +301,7 @@ ORACLES = {
     "j4_vector_priority": f"WITH {_K} SELECT embed_key, (CASE WHEN id % 5 = 0 THEN 0 WHEN id % 3 = 0 THEN 1 ELSE 2 END)::INT AS priority, round(v[1]::DOUBLE, 6) AS first FROM k WHERE id % 5 = 0 OR id % 3 = 0 OR id % 2 = 0",
     "j5_pending_keys": f"WITH {_K} SELECT embed_key FROM k WHERE id % 3 <> 0 AND id % 7 <> 0",
     "j12_i10_unreferenced": "SELECT 'seg' || i AS id FROM range(100) t(i) WHERE 'seg' || i NOT IN (SELECT 'seg' || (user_id % 100) FROM events WHERE event_id % 100 = 0 UNION SELECT 'seg' || ((event_id // 100) % 100) FROM events WHERE event_id % 100 = 0)",
+    "j12_i10_unreferenced_all": "SELECT 'seg' || event_id AS id FROM events WHERE event_id NOT IN (SELECT user_id FROM events) AND event_id NOT IN (SELECT (event_id * 7) // 10 FROM events)",
     "u2_tombstones": f"{_S}, rej AS (SELECT path FROM cur WHERE NOT deleted AND size % 10 = 0) (SELECT path FROM prev WHERE deleted AND path NOT IN (SELECT path FROM cur WHERE NOT deleted AND path NOT IN (SELECT path FROM rej))) UNION SELECT path FROM cur WHERE deleted UNION SELECT path FROM rej",
     "a1_live_counts": f"{_S} SELECT count(*) AS files, sum(size % 9)::BIGINT AS chunks, sum(size)::BIGINT AS bytes, sum(size % 4)::BIGINT AS vectors FROM cur WHERE NOT deleted",
     "a2_garbage": f"{_S}, c AS (SELECT (SELECT count(*) FROM snaps) AS total, (SELECT count(*) FROM cur WHERE NOT deleted) AS live) SELECT total, live, round((total - live)::DOUBLE / total, 9) AS garbage FROM c",
@@ -308,6 +325,7 @@ SELECT key, streak::BIGINT AS failures, wait_s, CASE WHEN streak = 0 THEN 'healt
     "t4_minute_budget": "SELECT user_id % 5 AS key, date_trunc('minute', ts) AS minute, count(*) AS requests, sum(event_id % 90)::BIGINT AS tokens, count(*) > 1 AND (count(*) > 2 OR sum(event_id % 90) > 150) AS over FROM events GROUP BY 1, 2",
     "t5_ewma": "WITH s AS (SELECT user_id, list(value ORDER BY event_id) AS s FROM events WHERE value IS NOT NULL GROUP BY user_id) SELECT user_id, round(list_reduce(s, lambda a, x: a + 0.2::DOUBLE * (x - a)), 6) AS short, round(list_reduce(s, lambda a, x: a + 0.02::DOUBLE * (x - a)), 6) AS long FROM s",
     "t8_prunable": "WITH t AS (SELECT event_id AS id, ts FROM events WHERE event_id < 500), p AS (SELECT id, row_number() OVER (ORDER BY ts, id) AS r FROM t WHERE id % 3 <> 0 AND (id % 5 <> 0 OR ts < TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 7 DAYS)) SELECT id FROM p WHERE r <= (SELECT count(*) - 300 FROM t)",
+    "t8_prunable_all": "WITH p AS (SELECT event_id AS id, row_number() OVER (ORDER BY ts, event_id) AS r FROM events WHERE event_id % 3 <> 0 AND (event_id % 5 <> 0 OR ts < TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 7 DAYS)) SELECT id FROM p WHERE r <= (SELECT count(*) - 300 FROM events)",
     "e1_e7_per_query": f"WITH {_EVAL} {_ALL}",
     "e8_grouped": f"""WITH {_EVAL}, m AS ({_THREE}), n AS (SELECT grp, count(*) FILTER (qid IN (SELECT qid FROM p)) AS n_queries, count(*) FILTER (qid NOT IN (SELECT qid FROM p)) AS n_skipped FROM q GROUP BY grp),
 a AS (SELECT * FROM n UNION ALL SELECT 'overall', sum(n_queries), sum(n_skipped) FROM n HAVING count(*) > 1), names(metric, k) AS (VALUES ('recall', 5), ('mrr', 10), ('ndcg', 10)),
