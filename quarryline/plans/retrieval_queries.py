@@ -55,6 +55,13 @@ def l5_exact_symbol(spark, sf):
     return LX.search(q, c, 10, LX.Weights(0, 0, 0, 4.0, 0, 0, 0)).select("qid", "id", "score")
 
 
+def l5_exact_symbol_all(spark, sf):
+    """Every distinct symbol as a query."""
+    c = B.chunks(spark, sf)
+    q = c.filter(F.col("symbol") != "").select(F.col("symbol").alias("qid"), F.col("symbol").alias("query")).distinct()
+    return LX.search(q, c, 10, LX.Weights(0, 0, 0, 4.0, 0, 0, 0)).select("qid", "id", "score")
+
+
 def l6_l9_weighted_clauses(spark, sf):
     """Content and path clauses within a subtree."""
     q = B.benchmark_queries(spark, sf).withColumn("query", F.concat("query", F.lit(" docs en")))
@@ -83,6 +90,10 @@ def v1_exact_top60(spark, sf):
     return DN.search(q, B.vectors(spark, sf), 60).select("qid", "id", "score", "rank")
 
 
+def v1_exact_top60_all(spark, sf):
+    return DN.search(_query_vectors(spark, sf), B.vectors(spark, sf), 60).select("qid", "id", "score", "rank")
+
+
 def v2_filtered_top10(spark, sf):
     return DN.search(_query_vectors(spark, sf), B.vectors(spark, sf), 10, F.col("label") % 2 == 0).select("qid", "id", "score")
 
@@ -232,7 +243,7 @@ def search_hit_inventory(spark, sf):
     return BL.ranked_blocks(BL.merge_blocks(found)).select("qid", "rank", "path", "start", "end", F.round("score", 9).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (c2_line_windows, c11_coalesced_ranges, l1_terms, l2_l12_corpus_stats, l3_postings, l4_bm25_top20, l5_exact_symbol, l6_l9_weighted_clauses, l7_compound_keys, l13_route_with_fallback, v1_exact_top60, v2_filtered_top10, v4_segments_merged, v8_s17_validation, p21_normalized, f1_f2_weighted_rrf, f3_clamped_rrf, f4_equal_rrf, f5_f6_anchor, f7_rerank_head, f8_rerank_order, f9_rerank_check, f10_fragment_gate, f11_merged_blocks, f12_budget_selection, f14_block_headers, f15_omitted_files, f16_display_stats, a4_a15_capabilities, a5_top_level_counts, a6_a9_map_files, a7_map_selection, search_hit_inventory)}
+QUERIES = {f.__name__: f for f in (c2_line_windows, c11_coalesced_ranges, l1_terms, l2_l12_corpus_stats, l3_postings, l4_bm25_top20, l5_exact_symbol, l5_exact_symbol_all, l6_l9_weighted_clauses, l7_compound_keys, l13_route_with_fallback, v1_exact_top60, v1_exact_top60_all, v2_filtered_top10, v4_segments_merged, v8_s17_validation, p21_normalized, f1_f2_weighted_rrf, f3_clamped_rrf, f4_equal_rrf, f5_f6_anchor, f7_rerank_head, f8_rerank_order, f9_rerank_check, f10_fragment_gate, f11_merged_blocks, f12_budget_selection, f14_block_headers, f15_omitted_files, f16_display_stats, a4_a15_capabilities, a5_top_level_counts, a6_a9_map_files, a7_map_selection, search_hit_inventory)}
 
 _RANKED = "SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(score, 9) AS score FROM {t})) WHERE rank <= {k}"
 _ITEMS = f"qt AS (SELECT item_id AS qid, unnest(list_distinct({B.analyze_sql('text')})) AS term FROM benchmark)"
@@ -278,6 +289,9 @@ SELECT l_orderkey, min(a) AS "start", max(b) AS "end", count(*) AS n FROM i GROU
     "l3_postings": f"WITH {B.CHUNKS}, tok AS (SELECT id, unnest({B.analyze_sql('content')}) AS term FROM chunks), tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term HAVING count(*) >= 3",
     "l4_bm25_top20": f"WITH {B.CHUNKS}, {_ITEMS}, {B.bm25_sql('qt')} {_RANKED.format(t='sc', k=20)}",
     "l5_exact_symbol": f"WITH {B.CHUNKS}, s AS (SELECT symbol FROM chunks WHERE symbol <> '' GROUP BY symbol HAVING count(*) = 2) SELECT symbol AS qid, id, round(4 * ln(1 + ((SELECT count(*) FROM chunks) - 2 + 0.5) / 2.5), 9) AS score FROM chunks JOIN s USING (symbol)",
+    "l5_exact_symbol_all": f"""WITH {B.CHUNKS}, s AS (SELECT symbol, count(*) AS df FROM chunks WHERE symbol <> '' GROUP BY symbol),
+sc AS (SELECT symbol AS qid, id, round(4 * ln(1 + ((SELECT count(*) FROM chunks) - df + 0.5) / (df + 0.5)), 9) AS score FROM chunks JOIN s USING (symbol))
+SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10""",
     "l6_l9_weighted_clauses": f"""WITH {B.CHUNKS}, qt AS (SELECT item_id AS qid, unnest(list_distinct({B.analyze_sql("text || ' docs en'")})) AS term FROM benchmark), {B.bm25_sql('qt')},
 ptok AS (SELECT id, unnest({B.analyze_sql('path')}) AS term FROM chunks), ptf AS (SELECT id, term, count(*) AS tf FROM ptok GROUP BY id, term), pdl AS (SELECT id, sum(tf) AS dl FROM ptf GROUP BY id), pst AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT sum(dl) FROM pdl) / (SELECT count(*) FROM chunks) AS avgdl), pdf AS (SELECT term, count(*) AS df FROM ptf GROUP BY term),
 psc AS (SELECT qid, ptf.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN ptf USING (term) JOIN pdf USING (term) JOIN pdl USING (id), pst GROUP BY qid, ptf.id),
@@ -290,6 +304,7 @@ ok AS (SELECT qid, id FROM (SELECT qid, tf.id, count(DISTINCT term) AS c FROM qt
 SELECT qid, id, score FROM ({_RANKED.format(t='al', k=20)})""",
     "l13_route_with_fallback": f"WITH {B.CHUNKS}, {_ITEMS}, {B.bm25_sql('qt')} {_RANKED.format(t='sc', k=5)}",
     "v1_exact_top60": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id = 0) {_RANKED.format(t='s', k=60)}",
+    "v1_exact_top60_all": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0) {_RANKED.format(t='s', k=60)}",
     "v2_filtered_top10": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0 AND a.label % 2 = 0) SELECT qid, id, score FROM ({_RANKED.format(t='s', k=10)})",
     "v4_segments_merged": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0 AND a.id % 7 <> 0) SELECT qid, id, score FROM ({_RANKED.format(t='s', k=10)})",
     "v8_s17_validation": f"WITH {B.VECTORS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(*) FILTER (len(v) <> 64) AS wrong_dim, count(*) FILTER (NOT list_sum(list_transform(v, lambda x: x * x)) > 0) AS unusable, count(*) = count(DISTINCT id) AND count(*) FILTER (len(v) <> 64) = 0 AND count(*) FILTER (NOT list_sum(list_transform(v, lambda x: x * x)) > 0) = 0 AS valid FROM vecs",
