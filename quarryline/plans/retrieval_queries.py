@@ -170,6 +170,11 @@ def f10_fragment_gate(spark, sf):
     return c.filter(~text.is_fragment_noise(F.col("content"), F.col("capability"))).select("path", "start")
 
 
+def f10_fragment_gate_whole(spark, sf):
+    c = B.chunks(spark, sf)
+    return c.filter(~text.is_fragment_noise(F.col("content"), F.col("capability"))).select("path", "start")
+
+
 def _hit_chunks(spark, sf):
     """Every chunk as a hit of the query of its source."""
     c = B.chunks(spark, sf)
@@ -243,7 +248,7 @@ def search_hit_inventory(spark, sf):
     return BL.ranked_blocks(BL.merge_blocks(found)).select("qid", "rank", "path", "start", "end", F.round("score", 9).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (c2_line_windows, c11_coalesced_ranges, l1_terms, l2_l12_corpus_stats, l3_postings, l4_bm25_top20, l5_exact_symbol, l5_exact_symbol_all, l6_l9_weighted_clauses, l7_compound_keys, l13_route_with_fallback, v1_exact_top60, v1_exact_top60_all, v2_filtered_top10, v4_segments_merged, v8_s17_validation, p21_normalized, f1_f2_weighted_rrf, f3_clamped_rrf, f4_equal_rrf, f5_f6_anchor, f7_rerank_head, f8_rerank_order, f9_rerank_check, f10_fragment_gate, f11_merged_blocks, f12_budget_selection, f14_block_headers, f15_omitted_files, f16_display_stats, a4_a15_capabilities, a5_top_level_counts, a6_a9_map_files, a7_map_selection, search_hit_inventory)}
+QUERIES = {f.__name__: f for f in (c2_line_windows, c11_coalesced_ranges, l1_terms, l2_l12_corpus_stats, l3_postings, l4_bm25_top20, l5_exact_symbol, l5_exact_symbol_all, l6_l9_weighted_clauses, l7_compound_keys, l13_route_with_fallback, v1_exact_top60, v1_exact_top60_all, v2_filtered_top10, v4_segments_merged, v8_s17_validation, p21_normalized, f1_f2_weighted_rrf, f3_clamped_rrf, f4_equal_rrf, f5_f6_anchor, f7_rerank_head, f8_rerank_order, f9_rerank_check, f10_fragment_gate, f10_fragment_gate_whole, f11_merged_blocks, f12_budget_selection, f14_block_headers, f15_omitted_files, f16_display_stats, a4_a15_capabilities, a5_top_level_counts, a6_a9_map_files, a7_map_selection, search_hit_inventory)}
 
 _RANKED = "SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(score, 9) AS score FROM {t})) WHERE rank <= {k}"
 _ITEMS = f"qt AS (SELECT item_id AS qid, unnest(list_distinct({B.analyze_sql('text')})) AS term FROM benchmark)"
@@ -321,6 +326,7 @@ SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY bucket, CASE WHEN
     "f9_rerank_check": f"WITH {_DOCS} SELECT qid, count(*) AS n_sent, count(*) FILTER (id % 50 <> 1) AS n_returned, count(*) FILTER (id % 50 = 1) = 0 AS valid FROM y WHERE sent GROUP BY qid",
     "f11_merged_blocks": f'WITH {_HITS} SELECT qid, path, a AS "start", b AS "end", score, md5(content) AS md5 FROM mb',
     "f10_fragment_gate": f"""WITH {B.CHUNKS}, s AS (SELECT path, "start", substr(content, 1, 4) AS content FROM chunks) SELECT path, "start" FROM s WHERE NOT {NOISE}""",
+    "f10_fragment_gate_whole": f"""WITH {B.CHUNKS} SELECT path, "start" FROM chunks WHERE NOT {NOISE}""",
     "f12_budget_selection": f'{_FOLD} SELECT qid, path, a AS "start", rank::INT AS rank, bytes, shown FROM sel',
     "f15_omitted_files": f"""{_FOLD}, o AS (SELECT qid, path, a, b, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM sel s WHERE rank = (SELECT min(rank) FROM sel t WHERE t.qid = s.qid AND t.path = s.path) AND NOT (SELECT bool_or(shown) FROM sel t WHERE t.qid = s.qid AND t.path = s.path))
 SELECT qid, path, a AS "start", b AS "end", place::INT AS place FROM o WHERE place <= 10""",
