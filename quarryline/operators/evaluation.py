@@ -29,8 +29,9 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return once.join(qrels.select("qid", "doc_id", "rel"), ["qid", "doc_id"], "left").na.fill({"rel": 0})
 
 
-def per_query(queries: DataFrame, run: DataFrame, qrels: DataFrame, metrics: tuple = STANDARD) -> DataFrame:
-    """(qid, grp, metric, k, value) of every query that has a positive judgement; a query without a hit has 0."""
+def per_query(queries: DataFrame, run: DataFrame, qrels: DataFrame, metrics: tuple = STANDARD, digits: int | None = 9) -> DataFrame:
+    """(qid, grp, metric, k, value) of every query that has a positive judgement; a query without a hit has 0.
+    Values that are still to be averaged aren't rounded: digits is None."""
     pos = qrels.filter(F.col("rel") > 0)
     ideal = pos.withColumn("_i", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")))
     ks = sorted({k for _, k in metrics})
@@ -62,14 +63,14 @@ def per_query(queries: DataFrame, run: DataFrame, qrels: DataFrame, metrics: tup
             "ap": F.coalesce(F.col(f"prec_{k}"), F.lit(0.0)) / F.col("n_pos"),
             "ndcg": F.coalesce(F.col(f"dcg_{k}"), F.lit(0.0)) / F.col(f"idcg_{k}"),
         }[m]
-        values.append(F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.round(v, 9).alias("value")))
+        values.append(F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), (v if digits is None else F.round(v, digits)).alias("value")))
     return g.select("qid", "grp", F.explode(F.array(*values)).alias("m")).select("qid", "grp", "m.*")
 
 
 def evaluate(queries: DataFrame, run: DataFrame, qrels: DataFrame, metrics: tuple = STANDARD) -> DataFrame:
     """(grp, metric, k, value, n_queries, n_skipped): means by group, and `overall` where groups are several.
     Queries without a positive judgement are skipped and counted; a group of such alone has mean 0."""
-    scored = per_query(queries, run, qrels, metrics)
+    scored = per_query(queries, run, qrels, metrics, None)
     groups = queries.select("qid", F.when(F.coalesce("grp", F.lit("")) == "", "all").otherwise(F.col("grp")).alias("grp"))
     kept = qrels.filter(F.col("rel") > 0).select("qid").distinct().withColumn("_j", F.lit(1))
     counts = groups.join(kept, "qid", "left").groupBy("grp").agg(F.count("_j").alias("n_queries"), F.count_if(F.col("_j").isNull()).alias("n_skipped"))

@@ -50,12 +50,6 @@ def l4_bm25_top20(spark, sf):
 
 
 def l5_exact_symbol(spark, sf):
-    c = B.chunks(spark, sf)
-    q = c.filter(F.col("symbol") != "").groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(F.col("symbol").alias("qid"), F.col("symbol").alias("query"))
-    return LX.search(q, c, 10, LX.Weights(0, 0, 0, 4.0, 0, 0, 0)).select("qid", "id", "score")
-
-
-def l5_exact_symbol_all(spark, sf):
     """Every distinct symbol as a query."""
     c = B.chunks(spark, sf)
     q = c.filter(F.col("symbol") != "").select(F.col("symbol").alias("qid"), F.col("symbol").alias("query")).distinct()
@@ -86,11 +80,6 @@ def _query_vectors(spark, sf):
 
 
 def v1_exact_top60(spark, sf):
-    q = B.vectors(spark, sf).filter("id = 0").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    return DN.search(q, B.vectors(spark, sf), 60).select("qid", "id", "score", "rank")
-
-
-def v1_exact_top60_all(spark, sf):
     return DN.search(_query_vectors(spark, sf), B.vectors(spark, sf), 60).select("qid", "id", "score", "rank")
 
 
@@ -166,11 +155,6 @@ def f9_rerank_check(spark, sf):
 
 
 def f10_fragment_gate(spark, sf):
-    c = B.chunks(spark, sf).withColumn("content", F.substring("content", 1, 4))
-    return c.filter(~text.is_fragment_noise(F.col("content"), F.col("capability"))).select("path", "start")
-
-
-def f10_fragment_gate_whole(spark, sf):
     c = B.chunks(spark, sf)
     return c.filter(~text.is_fragment_noise(F.col("content"), F.col("capability"))).select("path", "start")
 
@@ -248,7 +232,7 @@ def search_hit_inventory(spark, sf):
     return BL.ranked_blocks(BL.merge_blocks(found)).select("qid", "rank", "path", "start", "end", F.round("score", 9).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (c2_line_windows, c11_coalesced_ranges, l1_terms, l2_l12_corpus_stats, l3_postings, l4_bm25_top20, l5_exact_symbol, l5_exact_symbol_all, l6_l9_weighted_clauses, l7_compound_keys, l13_route_with_fallback, v1_exact_top60, v1_exact_top60_all, v2_filtered_top10, v4_segments_merged, v8_s17_validation, p21_normalized, f1_f2_weighted_rrf, f3_clamped_rrf, f4_equal_rrf, f5_f6_anchor, f7_rerank_head, f8_rerank_order, f9_rerank_check, f10_fragment_gate, f10_fragment_gate_whole, f11_merged_blocks, f12_budget_selection, f14_block_headers, f15_omitted_files, f16_display_stats, a4_a15_capabilities, a5_top_level_counts, a6_a9_map_files, a7_map_selection, search_hit_inventory)}
+QUERIES = {f.__name__: f for f in (c2_line_windows, c11_coalesced_ranges, l1_terms, l2_l12_corpus_stats, l3_postings, l4_bm25_top20, l5_exact_symbol, l6_l9_weighted_clauses, l7_compound_keys, l13_route_with_fallback, v1_exact_top60, v2_filtered_top10, v4_segments_merged, v8_s17_validation, p21_normalized, f1_f2_weighted_rrf, f3_clamped_rrf, f4_equal_rrf, f5_f6_anchor, f7_rerank_head, f8_rerank_order, f9_rerank_check, f10_fragment_gate, f11_merged_blocks, f12_budget_selection, f14_block_headers, f15_omitted_files, f16_display_stats, a4_a15_capabilities, a5_top_level_counts, a6_a9_map_files, a7_map_selection, search_hit_inventory)}
 
 _RANKED = "SELECT qid, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(score, 9) AS score FROM {t})) WHERE rank <= {k}"
 _ITEMS = f"qt AS (SELECT item_id AS qid, unnest(list_distinct({B.analyze_sql('text')})) AS term FROM benchmark)"
@@ -293,8 +277,7 @@ SELECT l_orderkey, min(a) AS "start", max(b) AS "end", count(*) AS n FROM i GROU
     "l2_l12_corpus_stats": f"WITH {B.CHUNKS} SELECT 'content' AS field, count(*) AS n, round(avg(len({B.analyze_sql('content')})), 9) AS avgdl FROM chunks",
     "l3_postings": f"WITH {B.CHUNKS}, tok AS (SELECT id, unnest({B.analyze_sql('content')}) AS term FROM chunks), tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term HAVING count(*) >= 3",
     "l4_bm25_top20": f"WITH {B.CHUNKS}, {_ITEMS}, {B.bm25_sql('qt')} {_RANKED.format(t='sc', k=20)}",
-    "l5_exact_symbol": f"WITH {B.CHUNKS}, s AS (SELECT symbol FROM chunks WHERE symbol <> '' GROUP BY symbol HAVING count(*) = 2) SELECT symbol AS qid, id, round(4 * ln(1 + ((SELECT count(*) FROM chunks) - 2 + 0.5) / 2.5), 9) AS score FROM chunks JOIN s USING (symbol)",
-    "l5_exact_symbol_all": f"""WITH {B.CHUNKS}, s AS (SELECT symbol, count(*) AS df FROM chunks WHERE symbol <> '' GROUP BY symbol),
+    "l5_exact_symbol": f"""WITH {B.CHUNKS}, s AS (SELECT symbol, count(*) AS df FROM chunks WHERE symbol <> '' GROUP BY symbol),
 sc AS (SELECT symbol AS qid, id, round(4 * ln(1 + ((SELECT count(*) FROM chunks) - df + 0.5) / (df + 0.5)), 9) AS score FROM chunks JOIN s USING (symbol))
 SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10""",
     "l6_l9_weighted_clauses": f"""WITH {B.CHUNKS}, qt AS (SELECT item_id AS qid, unnest(list_distinct({B.analyze_sql("text || ' docs en'")})) AS term FROM benchmark), {B.bm25_sql('qt')},
@@ -308,8 +291,7 @@ need AS (SELECT qid, count(*) AS n_terms FROM qt GROUP BY qid), {B.bm25_sql('qt'
 ok AS (SELECT qid, id FROM (SELECT qid, tf.id, count(DISTINCT term) AS c FROM qt JOIN tf USING (term) GROUP BY qid, tf.id) JOIN need USING (qid) WHERE c = n_terms), al AS (SELECT sc.* FROM sc SEMI JOIN ok USING (qid, id))
 SELECT qid, id, score FROM ({_RANKED.format(t='al', k=20)})""",
     "l13_route_with_fallback": f"WITH {B.CHUNKS}, {_ITEMS}, {B.bm25_sql('qt')} {_RANKED.format(t='sc', k=5)}",
-    "v1_exact_top60": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id = 0) {_RANKED.format(t='s', k=60)}",
-    "v1_exact_top60_all": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0) {_RANKED.format(t='s', k=60)}",
+    "v1_exact_top60": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0) {_RANKED.format(t='s', k=60)}",
     "v2_filtered_top10": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0 AND a.label % 2 = 0) SELECT qid, id, score FROM ({_RANKED.format(t='s', k=10)})",
     "v4_segments_merged": f"WITH {B.VECTORS}, {_UNIT}, s AS (SELECT q.id AS qid, a.id, {_DOT} AS score FROM unit a, unit q WHERE q.id % 20 = 0 AND a.id % 7 <> 0) SELECT qid, id, score FROM ({_RANKED.format(t='s', k=10)})",
     "v8_s17_validation": f"WITH {B.VECTORS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(*) FILTER (len(v) <> 64) AS wrong_dim, count(*) FILTER (NOT list_sum(list_transform(v, lambda x: x * x)) > 0) AS unusable, count(*) = count(DISTINCT id) AND count(*) FILTER (len(v) <> 64) = 0 AND count(*) FILTER (NOT list_sum(list_transform(v, lambda x: x * x)) > 0) = 0 AS valid FROM vecs",
@@ -325,8 +307,7 @@ b AS (SELECT *, CASE WHEN rank > 20 THEN 4 WHEN NOT hc THEN 3 WHEN NOT sent THEN
 SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY bucket, CASE WHEN bucket = 0 THEN -s END NULLS LAST, rank))::INT AS rank, bucket::INT AS bucket FROM b""",
     "f9_rerank_check": f"WITH {_DOCS} SELECT qid, count(*) AS n_sent, count(*) FILTER (id % 50 <> 1) AS n_returned, count(*) FILTER (id % 50 = 1) = 0 AS valid FROM y WHERE sent GROUP BY qid",
     "f11_merged_blocks": f'WITH {_HITS} SELECT qid, path, a AS "start", b AS "end", score, md5(content) AS md5 FROM mb',
-    "f10_fragment_gate": f"""WITH {B.CHUNKS}, s AS (SELECT path, "start", substr(content, 1, 4) AS content FROM chunks) SELECT path, "start" FROM s WHERE NOT {NOISE}""",
-    "f10_fragment_gate_whole": f"""WITH {B.CHUNKS} SELECT path, "start" FROM chunks WHERE NOT {NOISE}""",
+    "f10_fragment_gate": f"""WITH {B.CHUNKS} SELECT path, "start" FROM chunks WHERE NOT {NOISE}""",
     "f12_budget_selection": f'{_FOLD} SELECT qid, path, a AS "start", rank::INT AS rank, bytes, shown FROM sel',
     "f15_omitted_files": f"""{_FOLD}, o AS (SELECT qid, path, a, b, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM sel s WHERE rank = (SELECT min(rank) FROM sel t WHERE t.qid = s.qid AND t.path = s.path) AND NOT (SELECT bool_or(shown) FROM sel t WHERE t.qid = s.qid AND t.path = s.path))
 SELECT qid, path, a AS "start", b AS "end", place::INT AS place FROM o WHERE place <= 10""",

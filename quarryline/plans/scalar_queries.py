@@ -75,12 +75,6 @@ def p15_subtree(spark, sf):
 
 
 def p17_p18_fragments(spark, sf):
-    c = B.chunks(spark, sf)
-    short = c.withColumn("content", F.when(F.col("start") % 2 == 1, F.substring("content", 1, 12)).otherwise(F.concat(F.col("start").cast("string"), F.lit("年\n1月"))))
-    return short.select("path", "start", text.is_fragment_noise(F.col("content"), F.col("capability")).alias("noise"), text.is_date_only(F.col("content")).alias("date_only"))
-
-
-def p17_p18_fragments_whole(spark, sf):
     c = B.chunks(spark, sf)
     return c.select("path", "start", text.is_fragment_noise(F.col("content"), F.col("capability")).alias("noise"), text.is_date_only(F.col("content")).alias("date_only"))
 
@@ -124,7 +118,7 @@ def p30_summary(spark, sf):
     return g.select("source", text.sync_summary(F.col("source"), F.col("n"), F.col("c"), F.lit(0), F.lit("delta"), F.lit("50%"), deg).alias("summary"))
 
 
-QUERIES = {f.__name__: f for f in (s3_content_gate, s5_s6_denied_paths, s14_blob_name, p1_p2_language, p3_p4_lines, p5_identities, p6_p7_document_texts, p8_structural_tokens, p9_p11_scripts, p10_query_plan, p12_p13_query_tokens, p15_subtree, p17_p18_fragments, p17_p18_fragments_whole, p19_path_prior, p20_tokens, p22_coverage, p23_sanitize, p25_http_class, p29_keys, p30_summary)}
+QUERIES = {f.__name__: f for f in (s3_content_gate, s5_s6_denied_paths, s14_blob_name, p1_p2_language, p3_p4_lines, p5_identities, p6_p7_document_texts, p8_structural_tokens, p9_p11_scripts, p10_query_plan, p12_p13_query_tokens, p15_subtree, p17_p18_fragments, p19_path_prior, p20_tokens, p22_coverage, p23_sanitize, p25_http_class, p29_keys, p30_summary)}
 
 _T = "trim(x, '.,;:!?()[]{}\"''`')"
 _STRUCT = rf"(CASE WHEN regexp_matches({_T}, '[._/-]') THEN regexp_replace({_T}, '[^\p{{L}}]', '', 'g') NOT IN ('', 'v', 'V') ELSE regexp_matches({_T}, '\p{{Ll}}\p{{Lu}}') END)"
@@ -172,9 +166,7 @@ SELECT * FROM (SELECT conv_id, turn::BIGINT AS turn, token, token AS x FROM t) W
     "p12_p13_query_tokens": r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(u, '[A-Za-z0-9_.-]+'), lambda t: trim(t, '._-')), lambda t: length(t) >= 4 AND regexp_matches(t, '^[A-Za-z]')), '|') AS latin,
 array_to_string(list_filter(list_transform(regexp_extract_all(u, '\S+'), lambda x: trim(x, '"''`()[]{}<>,;:!?')), lambda x: strlen(x) >= 6 AND regexp_matches(x, '^-*[A-Za-z0-9]+(-+[A-Za-z0-9]+)+-*$') AND NOT regexp_matches(x, '(^|-)[0-9]+(-|$)'))[1:3], '|') AS compound FROM (SELECT page_id, replace(url, '/', ' ') AS u FROM pages)""",
     "p15_subtree": f"WITH {B.FILES} SELECT path, strlen(content)::INT AS n_bytes FROM files WHERE path = 'docs/src1/en' OR starts_with(path, 'docs/src1/en/')",
-    "p17_p18_fragments": rf"""WITH {B.CHUNKS}, s AS (SELECT path, "start", CASE WHEN "start" % 2 = 1 THEN substr(content, 1, 12) ELSE "start" || '年' || chr(10) || '1月' END AS content FROM chunks)
-SELECT path, "start", {NOISE} AS noise, {_date("content")} AS date_only FROM s""",
-    "p17_p18_fragments_whole": f"""WITH {B.CHUNKS} SELECT path, "start", {NOISE} AS noise, {_date("content")} AS date_only FROM chunks""",
+    "p17_p18_fragments": f"""WITH {B.CHUNKS} SELECT path, "start", {NOISE} AS noise, {_date("content")} AS date_only FROM chunks""",
     "p19_path_prior": f"SELECT page_id, {_prior('p')} AS prior, {_prior(chr(39) + 'docs/' + chr(39) + ' || p')} AS docs_prior FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)",
     "p20_tokens": "SELECT doc_id, strlen(text) // 4 + 1 AS tokens FROM documents",
     "p22_coverage": "SELECT source, (count(*) FILTER (n_chars > 500) * 100 // count(*)) || '%' AS coverage FROM documents GROUP BY source",

@@ -24,11 +24,11 @@ def test_prunable_tasks_against_brute_force(spark, most):
 def test_prunable_tasks_sort_no_whole_table_in_one_task(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(Window, "orderBy", lambda *c, f=Window.orderBy: seen.append(c) or f(*c))
-    registry.queries()["t8_prunable_all"](spark, sf)
+    registry.queries()["t8_prunable"](spark, sf)
     assert seen == [("_b",)]  # one row per minute
 
 
-@pytest.mark.parametrize("name", ["t8_prunable_all", "j12_i10_unreferenced_all"])
+@pytest.mark.parametrize("name", ["t8_prunable", "j12_i10_unreferenced"])
 def test_all_events_take_part(spark, sf, name):
     ids = {int(str(x["id"]).removeprefix("seg")) for x in registry.queries()[name](spark, sf).collect()}
     assert max(ids) >= 500 and any(i % 100 for i in ids)
