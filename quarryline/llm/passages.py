@@ -10,7 +10,8 @@ a passage there:
   far the copies agree. Members of a group that agree over the length of a passage are one class, found by
   sorting, however many they are; no pair is formed.
 * near-duplicates: windows that share their minima with the same other document are joined by their
-  intervals; where enough of the windows of enough functions agree along a run, the run is a passage.
+  intervals; where enough of the windows of enough functions agree along a run, the words of both documents
+  are read there and compared. What stays unexplained meets the other documents of its groups.
 
 Windows travel as packed arrays, one row per task and bucket; equal pivots within one task are first
 reduced to those that differ, so that a hot passage arrives once per task and not once per document.
@@ -34,6 +35,8 @@ _APART = 36  # words of a stretch of one repeated shingle that one pivot stands
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "<u2"), ("right", "<u2"), ("room_l", "u1"), ("room_r", "u1"), ("fn", "u1"), ("told", "u1"), ("ctx_l", "<u4", _REACH), ("ctx_r", "<u4", _REACH)])
 #: A near-duplicate passage is kept if this share of its words lies in sequences of COMMON words that the other's passage has.
 VERIFIED, COMMON = 0.6, 4
+#: Words that may differ between two agreeing ones of a passage; words read about a proposal on either side.
+GAP, PAD = 12, 64
 _SEEDS = [_U(x | 1) for x in (0x8E3F5B1C9D2A7741, 0xD1B54A32D192ED03, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6BC279692B5CC83, 0xE7037ED1A0B428DB)]
 
 
@@ -148,7 +151,7 @@ def _combine(rec: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, h
 
 
-_MET = ("doc", "start", "end", "mate", "exact", "fn", "shift", "pivot")
+_MET = ("doc", "start", "end", "mate", "exact", "fn", "shift", "pivot", "key")
 
 
 def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,11 +163,12 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray]:
-    """Of one bucket's windows: the spans (start, end) in which a document shares a pivot with `mate`."""
+    """Of one bucket's windows: the spans (start, end) in which a document shares a pivot with `mate`, the first
+    of its group. key is the pivot's where its group has documents besides those two, else 0."""
     cols: dict[str, list] = {k: [] for k in _MET}
 
-    def put(r: np.ndarray, start, end, mate, exact: int, shift) -> None:
-        for k, x in zip(_MET, (r["doc"], start, end, mate, np.full(len(r), exact), r["fn"], shift, r["at"])):
+    def put(r: np.ndarray, start, end, mate, exact: int, shift, key) -> None:
+        for k, x in zip(_MET, (r["doc"], start, end, mate, np.full(len(r), exact), r["fn"], shift, r["at"], key)):
             cols[k].append(np.asarray(x).astype(np.int64))
 
     def room(r: np.ndarray, side: str) -> np.ndarray:
@@ -172,8 +176,7 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
 
     told = rec[rec["told"] == 1]  # met already in the task that read them; key holds the other document
     at = told["at"].astype(np.int64)
-    for exact in (0, 1):
-        put(told, at - room(told, "l"), at + shingle + room(told, "r"), told["key"].view(np.int64) if len(told) else at, exact, at - told["ctx_l"][:, 0])
+    put(told, at - room(told, "l"), at + shingle + room(told, "r"), told["key"].view(np.int64) if len(told) else at, 1, at - told["ctx_l"][:, 0], np.zeros(len(told)))
     rec = rec[rec["told"] == 0]
     rec = rec[np.lexsort((rec["at"], rec["doc"], rec["key"]))]
     start, size = _groups(rec["key"])
@@ -188,7 +191,9 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
         hi = np.minimum(rec["right"], one["right"]).astype(np.int64)
         at = rec["at"].astype(np.int64)
         other = rec["doc"] != one["doc"]
-        put(rec[other], (at - lo)[other], (at + hi + shingle)[other], one["doc"][other], 0, (at - one["at"])[other])
+        docs = np.r_[0, np.cumsum((rec["doc"][1:] != rec["doc"][:-1]) | (rec["key"][1:] != rec["key"][:-1]))]
+        many = np.repeat(docs[start + size - 1] - docs[start] > 1, size)
+        put(rec[other], (at - lo)[other], (at + hi + shingle)[other], one["doc"][other], 0, (at - one["at"])[other], np.where(many, rec["key"].view(np.int64), 0)[other])
         reach = -(-(min_words - shingle - STEP) // STEP)
         found = []
         for i in range(min(reach, _REACH) + 1):
@@ -198,98 +203,208 @@ def _meet(rec: np.ndarray, shingle: int, min_words: int) -> dict[str, np.ndarray
             ok, h = _combine(rec, i, j)
             if not len(ok):
                 continue
-            o = np.lexsort((rec["doc"][ok], h))
+            o = np.lexsort((rec["at"][ok], rec["doc"][ok], h))
             ok, h = ok[o], h[o]
             s, z = _groups(h)
             d = rec["doc"][ok]
             shared = np.repeat(d[s] != d[s + z - 1], z)
-            found.append((ok[shared], np.repeat(d[s], z)[shared], i, j))
+            found.append((ok[shared], np.repeat(ok[s], z)[shared], i, j))
         if found:
             # A row per window and first document: what one of them shares on the left, another may not on the right.
             hit = np.concatenate([x[0] for x in found])
-            mate = np.concatenate([x[1] for x in found])
+            where = np.concatenate([x[1] for x in found])
             sides = [np.concatenate([np.full(len(x[0]), x[k]) for x in found]) for k in (2, 3)]
-            o = np.lexsort((mate, hit))
-            hit, mate = hit[o], mate[o]
+            o = np.lexsort((where, hit))
+            hit, where = hit[o], where[o]
             new = np.ones(len(hit), bool)
-            new[1:] = (hit[1:] != hit[:-1]) | (mate[1:] != mate[:-1])
+            new[1:] = (hit[1:] != hit[:-1]) | (where[1:] != where[:-1])
             s = np.flatnonzero(new)
             if len(s):
                 best_l, best_r = (np.maximum.reduceat(x[o], s) for x in sides)
-                put(rec[hit[s]], at[hit[s]] - STEP * best_l, at[hit[s]] + shingle + STEP * best_r, mate[s], 1, np.zeros(len(s)))
+                put(rec[hit[s]], at[hit[s]] - STEP * best_l, at[hit[s]] + shingle + STEP * best_r, rec["doc"][where[s]], 1, at[hit[s]] - at[where[s]], np.zeros(len(s)))
     return {k: np.concatenate(v) for k, v in cols.items()}
 
 
-def _proposed(g: dict[str, np.ndarray], doc: int, shingle: int, min_words: int, functions: int, agree: float) -> list[tuple[int, int, int, int, int]]:
-    """The near-duplicate passages (start, end, other document, its start, its end) that one document's
-    windows speak for, without those that exact spans cover; their words are still to be compared."""
-    exact = g["exact"] == 1
-    loose = np.flatnonzero(~exact & (g["mate"] != doc))
-    if not len(loose):
-        return []
-    out = []
-    t = min_words - shingle + 1
-    loose = loose[np.lexsort((g["pivot"][loose], g["mate"][loose]))]
-    m, p, s, f = g["mate"][loose], g["pivot"][loose], g["shift"][loose], g["fn"][loose]
-    cut = np.ones(len(loose), bool)
-    cut[1:] = (m[1:] != m[:-1]) | (p[1:] - p[:-1] > t) | (np.abs(s[1:] - s[:-1]) > 12)
-    at = np.flatnonzero(cut)
-    for a, b in zip(at, np.r_[at[1:], len(loose)]):
-        lo, hi = int(p[a]), int(p[b - 1]) + shingle
-        pivots = len(set(zip(f[a:b].tolist(), p[a:b].tolist())))
-        due = functions * 2 * max(hi - lo - shingle, 1) / (t + 1)
-        if hi - lo >= min_words and len(set(f[a:b].tolist())) * 2 > functions and pivots >= functions and pivots >= agree * due:
-            known = exact & (g["mate"] <= m[a])
-            if not _covered(g["start"][known], g["end"][known], lo, hi):
-                there = p[a:b] - s[a:b]
-                out.append((lo, hi, int(m[a]), int(there.min()), int(there.max()) + shingle))
-    return out
+def _united(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the first, start, end) of the unions of spans that touch or overlap; rows are ordered by group and start."""
+    if not len(start):
+        return start, start, end
+    wide = np.int64(1) << 34
+    far = np.maximum.accumulate(group * wide + end)
+    first = np.flatnonzero(np.r_[True, (group * wide + start)[1:] > far[:-1]])
+    return first, start[first], far[np.r_[first[1:], len(far)] - 1] - group[first] * wide
 
 
-def _covered(start: np.ndarray, end: np.ndarray, lo: int, hi: int) -> bool:
-    """Whether the spans cover [lo, hi) without a gap."""
-    order = np.argsort(start, kind="stable")
-    start, far = start[order], np.maximum.accumulate(end[order]) if len(end) else end
-    first = np.flatnonzero(np.r_[True, start[1:] > far[:-1]]) if len(start) else np.zeros(0, np.int64)
-    k = int(np.searchsorted(start[first], lo, side="right")) - 1
-    return k >= 0 and int(far[first[k + 1] - 1] if k + 1 < len(first) else far[-1]) >= hi
+def _numbered(*cols: np.ndarray) -> np.ndarray:
+    """Numbers, from 0, of the runs of equal rows."""
+    new = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of a's words (hashes) that lie in sequences of COMMON words that b has too."""
+def _inside(doc, start, end, of, lo, hi) -> np.ndarray:
+    """Whether each span (of, lo, hi) lies in one of the disjoint spans (doc, start, end), ordered by both."""
+    if not len(doc):
+        return np.zeros(len(of), bool)
+    names, n = np.unique(np.r_[doc, of], return_inverse=True)
+    wide = np.int64(1) << 34
+    key = n[: len(doc)] * wide + start
+    want = n[len(doc) :] * wide + lo
+    at = np.searchsorted(key, want, side="right") - 1
+    safe = np.maximum(at, 0)
+    return (at >= 0) & (doc[safe] == of) & (end[safe] >= hi)
+
+
+#: What _sorted_out() tells of a document: its exact spans, near-duplicates to compare, and windows that may need other partners.
+_EXACT, _PROPOSED, _OPEN = 0, 1, 2
+_TOLD = ("kind", "doc", "start", "end", "mate", "mate_start", "mate_end", "key", "pivot", "fn")
+
+
+def _chains(doc, mate, pivot, shift, fn, shingle: int, min_words: int, functions: int, agree: float):
+    """(doc, start, end, mate, mate's start, its end) of the runs of windows that two documents share at places
+    that run along, with at least two windows and `agree` of those that equal texts share."""
+    t = min_words - shingle + 1
+    o = np.lexsort((shift, mate, doc))
+    line = np.zeros(len(o), np.int64)
+    if len(o):
+        d, m, s = doc[o], mate[o], shift[o]
+        line[o] = np.cumsum(np.r_[0, (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (s[1:] - s[:-1] > 12)])
+    o = np.lexsort((fn, pivot, line))
+    doc, mate, pivot, shift, fn, line = (x[o] for x in (doc, mate, pivot, shift, fn, line))
+    if not len(o):
+        return (np.zeros(0, np.int64),) * 6
+    cut = np.r_[True, (line[1:] != line[:-1]) | (pivot[1:] - pivot[:-1] > t)]
+    first = np.flatnonzero(cut)
+    again = np.r_[False, (line[1:] == line[:-1]) & (pivot[1:] == pivot[:-1]) & (fn[1:] == fn[:-1])]
+    n = np.add.reduceat((~again).astype(np.int64), first)
+    lo, hi = pivot[first], pivot[np.r_[first[1:], len(pivot)] - 1] + shingle
+    due = functions * 2 * np.maximum(hi - lo - shingle, 1) / (t + 1)
+    there = pivot - shift
+    low, high = np.minimum.reduceat(there, first), np.maximum.reduceat(there, first) + shingle
+    good = (hi - lo >= 2 * shingle) & (n >= 2) & (n >= agree * due)
+    return doc[first][good], lo[good], hi[good], mate[first][good], low[good], high[good]
+
+
+def _clusters(doc, pivot, fn, key, shingle: int, min_words: int) -> np.ndarray:
+    """Rows (in any order) that lie among shared windows wide enough for a passage, where other partners are left."""
+    o = np.lexsort((pivot, doc))
+    d, p = doc[o], pivot[o]
+    if not len(o):
+        return o
+    cut = np.r_[True, (d[1:] != d[:-1]) | (p[1:] - p[:-1] > min_words - shingle + 1)]
+    first = np.flatnonzero(cut)
+    size = np.diff(np.r_[first, len(o)])
+    wide = 10 * (p[first + size - 1] + shingle - p[first]) >= 8 * min_words
+    good = wide & (size >= 3) & (np.maximum.reduceat((key[o] != 0).astype(np.int64), first) > 0)
+    return o[np.repeat(good, size) & (key[o] != 0)]
+
+
+def _sorted_out(g: dict[str, np.ndarray], shingle: int, min_words: int, functions: int, agree: float) -> dict[str, np.ndarray]:
+    """The rows of _TOLD of whole documents, from all the spans in which they met others."""
+    cols: dict[str, list] = {k: [] for k in _TOLD}
+
+    def put(kind: int, **given) -> None:
+        n = len(given["doc"])
+        for k in _TOLD:
+            cols[k].append(np.full(n, kind) if k == "kind" else given.get(k, np.zeros(n, np.int64)))
+
+    exact = np.flatnonzero(g["exact"] == 1)
+    e = exact[np.lexsort((g["start"][exact], g["shift"][exact], g["mate"][exact], g["doc"][exact]))]
+    first, start, end = _united(_numbered(g["doc"][e], g["mate"][e], g["shift"][e]), g["start"][e], g["end"][e])
+    doc, mate, shift = g["doc"][e][first], g["mate"][e][first], g["shift"][e][first]
+    # What all mates cover together. Ends are graded: where it is short, its words tell how long it is.
+    o = np.lexsort((start, doc))
+    f, s, t = _united(_numbered(doc[o]), start[o], end[o])
+    sure = np.zeros(len(o), bool)
+    wide = t - s >= min_words + 2 * STEP
+    sure[o] = np.repeat(wide, np.diff(np.r_[f, len(o)]))
+    put(_EXACT, doc=doc[sure], start=start[sure], end=end[sure], mate=mate[sure])
+    short = ~sure & (mate != doc)
+    put(_PROPOSED, doc=doc[short], start=start[short], end=end[short], mate=mate[short], mate_start=(start - shift)[short], mate_end=(end - shift)[short])
+    other = np.flatnonzero(mate != doc)
+    o = other[np.lexsort((start[other], doc[other]))]
+    f, s, t = _united(_numbered(doc[o]), start[o], end[o])
+    loose = np.flatnonzero((g["exact"] == 0) & (g["mate"] != g["doc"]))
+    loose = loose[~_inside(doc[o][f], s, t, g["doc"][loose], g["pivot"][loose], g["pivot"][loose] + shingle)]
+    part = {k: g[k][loose] for k in ("doc", "mate", "pivot", "shift", "fn", "key")}
+    put(_PROPOSED, **dict(zip(("doc", "start", "end", "mate", "mate_start", "mate_end"), _chains(*(part[k] for k in ("doc", "mate", "pivot", "shift", "fn")), shingle, min_words, functions, agree))))
+    left = _clusters(part["doc"], part["pivot"], part["fn"], part["key"], shingle, min_words)
+    put(_OPEN, **{k: part[k][left] for k in ("doc", "pivot", "fn", "key")})
+    return {k: np.concatenate(v).astype(np.int64) for k, v in cols.items()}
+
+
+def _covered_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a's words (hashes) lie in sequences of COMMON words that b has too."""
     if len(a) < COMMON or len(b) < COMMON:
-        return 0.0
+        return np.zeros(len(a), bool)
     hit = np.flatnonzero(np.isin(C.gram_hash(a, COMMON), C.gram_hash(b, COMMON)))
     told = np.zeros(len(a) + 1, np.int64)
     np.add.at(told, hit, 1)
     np.add.at(told, hit + COMMON, -1)
-    return float((np.cumsum(told[:-1]) > 0).mean())
+    return np.cumsum(told[:-1]) > 0
 
 
-def _verified(spark, whole: DataFrame, proposed: DataFrame) -> DataFrame:
-    """(doc, start, end, mate, exact) of the proposed near-duplicates whose words agree: both documents' words
-    of each are read and compared."""
-    what = ("doc", "start", "end", "mate")
-    side = lambda k, of, lo, hi: proposed.select(F.col(of).alias("__of"), F.struct(F.lit(k).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), *what).alias("need"))
-    needs = side(0, "doc", "start", "end").unionByName(side(1, "mate", "mate_start", "mate_end")).groupBy("__of").agg(F.collect_list("need").alias("needs"))
+def agreement(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of a's words (hashes) that lie in sequences of COMMON words that b has too."""
+    return float(_covered_words(a, b).mean()) if len(a) else 0.0
+
+
+def passage_in(a: np.ndarray, b: np.ndarray, lo: int, hi: int, min_words: int) -> tuple[int, int, bool] | None:
+    """(start, end, exact) of the passage of a about [lo, hi) whose words b has too: it runs from one agreeing
+    word to another, with at most GAP others between two; None if it is shorter than min_words or less than
+    VERIFIED of its words agree."""
+    told = np.flatnonzero(_covered_words(a, b))
+    if not len(told):
+        return None
+    cut = np.flatnonzero(np.r_[True, np.diff(told) > GAP + 1])
+    start, end = told[cut], told[np.r_[cut[1:], len(told)] - 1] + 1
+    best = int(np.argmax(np.minimum(end, hi) - np.maximum(start, lo)))
+    i, j = int(start[best]), int(end[best])
+    n = int(np.searchsorted(told, j) - np.searchsorted(told, i))
+    if j - i < min_words or n < VERIFIED * (j - i):
+        return None
+    return i, j, n == j - i and a[i:j].tobytes() in b.tobytes()
+
+
+def _verified(spark, whole: DataFrame, proposed: DataFrame, min_words: int) -> DataFrame:
+    """(doc, start, end, mate, exact) of the proposed passages whose words agree: the words about each are read
+    on both sides and compared, which also tells where it begins and ends. A stretch of a document that many
+    proposals name is read once."""
+    grid = lambda lo, hi: (F.greatest(F.lit(0), F.floor((F.col(lo) - PAD) / PAD) * PAD).cast("long"), (F.ceil((F.col(hi) + PAD) / PAD) * PAD).cast("long"))
+    (a0, a1), (b0, b1) = grid("start", "end"), grid("mate_start", "mate_end")
+    name = lambda of, lo, hi: F.concat_ws(":", of, lo, hi)
+    asked = C.stored(proposed.select("doc", "start", "end", "mate", "mate_start", "mate_end").distinct().select("*", a0.alias("a0"), b0.alias("b0"), name("doc", a0, a1).alias("own"), name("mate", b0, b1).alias("its")), "asked")
+    areas = asked.select(F.col("own").alias("area")).unionByName(asked.select(F.col("its").alias("area"))).groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+    piece = lambda i: F.split_part("area", F.lit(":"), F.lit(i)).cast("long")
+    needs = areas.groupBy(piece(1).alias("of_id")).agg(F.collect_list(F.struct("area", "n", piece(2).alias("lo"), piece(3).alias("hi"))).alias("needs"))
     needs = C.stored(needs, "compared-words")
-    texts = whole.join(C.if_small(needs), F.col("id") == F.col("__of")).select("text", "needs")
+    texts = whole.join(C.if_small(needs), F.col("id") == F.col("of_id")).select("text", "needs")
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         w = C.Words(batch.column(0), lower=True)
         rows = [(w.hash[w.of[i] + min(n["lo"], w.of[i + 1] - w.of[i]) : min(w.of[i] + n["hi"], w.of[i + 1])].astype("<u8").tobytes(), n) for i, x in enumerate(batch.column(1).to_pylist()) for n in x]
-        return C.pa_batch(**{c: pa.array([n[c] for _, n in rows], pa.int64()) for c in what}, side=pa.array([n["side"] for _, n in rows], pa.int32()), words=pa.array([x for x, _ in rows], pa.binary()))
+        return C.pa_batch(area=pa.array([n["area"] for _, n in rows], pa.string()), n=pa.array([n["n"] for _, n in rows], pa.int64()), words=pa.array([x for x, _ in rows], pa.binary()))
 
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        sides: dict[tuple, tuple[list, list]] = {}
-        for *of, k, words in zip(*(group.column(c).to_pylist() for c in (*what, "side", "words"))):
-            sides.setdefault(tuple(of), ([], []))[k].append(np.frombuffer(words, "<u8"))
-        kept = [of for of, (a, b) in sides.items() if any(agreement(x, y) >= VERIFIED for x in a for y in b)]  # an id may have several rows
-        return pa.table({c: pa.array([of[i] for of in kept], pa.int64()) for i, c in enumerate(what)} | {"exact": pa.array([0] * len(kept), pa.int64())})
+    # An id may have several rows; those that differ are compared each.
+    read_words = C.stored(C.arrow_map(texts, read, "area string, n long, words binary").groupBy("area").agg(F.max("n").alias("n"), F.collect_set("words").alias("words")), "area-words")
+    pairs = C.lookup(asked, read_words.select(F.col("area").alias("own"), "n", F.col("words").alias("a")), "own", "n")
+    pairs = C.lookup(pairs.drop("n"), read_words.select(F.col("area").alias("its"), "n", F.col("words").alias("b")), "its", "n")
 
-    words = C.arrow_map(texts, read, ", ".join(f"{c} long" for c in what) + ", side int, words binary")
-    bucket = F.pmod(F.hash(*what), F.lit(4 * C.partitions(spark))).alias("bucket")
-    return words.groupBy(bucket).applyInArrow(C.lean(compare), ", ".join(f"{c} long" for c in (*what, "exact")))
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for doc, lo, hi, mate, there, back, a0, b0, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+            for own, its in ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x in a for y in b):
+                if hit := passage_in(own, its, lo - a0, hi - a0, min_words):
+                    out.append((doc, a0 + hit[0], a0 + hit[1], mate, int(hit[2])))
+                    # The other document's row, as the first that has it.
+                    if hit := passage_in(its, own, there - b0, back - b0, min_words):
+                        out.append((mate, b0 + hit[0], b0 + hit[1], mate, int(hit[2])))
+        cols = list(zip(*out)) if out else [[]] * 5
+        return C.pa_batch(**{k: pa.array(x, pa.int64()) for k, x in zip(("doc", "start", "end", "mate", "exact"), cols)})
+
+    pairs = pairs.select("doc", "start", "end", "mate", "mate_start", "mate_end", "a0", "b0", "a", "b")
+    return C.arrow_map(pairs, compare, "doc long, start long, end long, mate long, exact long").distinct()
 
 
 def _runs(g: dict[str, np.ndarray], doc: int, min_words: int) -> list[tuple[int, int, int, bool]]:
@@ -306,11 +421,36 @@ def _runs(g: dict[str, np.ndarray], doc: int, min_words: int) -> list[tuple[int,
         far = max(far, span[1])
     out: list[tuple[int, int, int, bool]] = []
     for part in together:
-        if max(b for _, b, _, _ in part) - part[0][0] >= min_words - STEP + 2:
+        if max(b for _, b, _, _ in part) - part[0][0] >= min_words:
             out += _by_first(part, doc)
     return out
 
 
+def _next_partners(g: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]:
+    """Links of open windows to further members of their groups. g: (key, doc, pivot, fn, open), each member of
+    the groups but the first, which all have met. In turn k the members numbered 2^(k-1) - 1 to 2^k - 2 meet all
+    those behind them, if one of the two is open; the later document is told."""
+    o = np.lexsort((g["pivot"], g["doc"], g["key"]))
+    key, doc, pivot, fn, opened = (g[k][o] for k in ("key", "doc", "pivot", "fn", "open"))
+    none = {k: np.zeros(0, np.int64) for k in ("doc", "mate", "pivot", "shift", "fn", "key")}
+    if not len(o):
+        return none
+    member = _numbered(key, doc)
+    at = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])  # a member's first place
+    is_open = np.maximum.reduceat(opened, at)[member] > 0
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    base = np.repeat(member[first], np.diff(np.r_[first, len(o)]))  # number of the group's first member
+    parts = []
+    for hub in range((1 << (turn - 1)) - 1, (1 << turn) - 1):
+        rows = np.flatnonzero(member - base > hub)
+        if not len(rows):
+            break
+        it = at[base[rows] + hub]
+        rows, it = (x[is_open[rows] | is_open[it]] for x in (rows, it))
+        parts.append((doc[rows], doc[it], pivot[rows], pivot[rows] - pivot[it], fn[rows], key[rows]))
+    return dict(zip(none, map(np.concatenate, zip(*parts)))) if parts else none
+
+
 def _by_first(spans: list[tuple[int, int, int, bool]], doc: int) -> list[tuple[int, int, int, bool]]:
     """Spans that touch or overlap, cut into intervals whose words have the same first document: the smallest
     of the spans that cover them, not of all, since a document that has one end needn't have the other."""
@@ -340,20 +480,23 @@ def _by_first(spans: list[tuple[int, int, int, bool]], doc: int) -> list[tuple[i
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, functions: int = FUNCTIONS, agree: float = 0.5) -> DataFrame:
-    """(doc_id, start_word, end_word, first_doc_id, exact): the passages of about min_words words or more that
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, functions: int = FUNCTIONS, agree: float = 0.1) -> DataFrame:
+    """(doc_id, start_word, end_word, first_doc_id, exact): the passages of min_words words or more that
     another document has too; words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered, counted from 0, end excluded.
 
-    first_doc_id is the smallest id that the passage was linked to where they met, the row's own included;
-    it is the row's own only for the smallest id of all that have the passage, which links lead to. Passages
+    first_doc_id is the smallest id that the passage was linked to, the row's own included; it is the row's own
+    for documents that others are linked to and that have no link to a smaller id. Passages
     that touch or overlap are one row as long as that id is the same, and rows of their own from where it
-    changes; such a row may be shorter than a passage. Ends are exact to within
-    the graded distances (6 words); exact passages of min_words + 4 words or more are always found, shorter
-    ones almost always, runs of near-duplicates with a probability that grows with their agreement; those are
-    kept only if, both documents' words compared, at least VERIFIED (60 %) of the run's words lie in sequences
-    of COMMON (4) words that the other document's run has too. Ids are
-    integers; rows of one id are one document; rows with a null id or text, and texts under min_words
-    words, have no passages. Only id and text are read; an empty table gives an empty one."""
+    changes; such a row may be shorter than a passage. Ends of exact passages of min_words + 12 words or more are
+    exact to within the graded distances (6 words); all others are read on both sides, begin and end with agreeing
+    words, and have min_words words or more. Exact passages of min_words words or more are always found; near-duplicates
+    with a probability that grows with their agreement. They are kept only if at least VERIFIED (60 %) of
+    their words lie in sequences of COMMON (4) words that the other document's passage has too.
+
+    Windows meet the first document of their pivot group; windows that no passage found so covers, and that lie
+    among enough others for one, meet the group's further documents too, one of them, then two, then four, until
+    none is left. Ids are integers; rows of one id are one document; rows with a null id or text, and texts
+    under min_words words, have no passages. Only id and text are read; an empty table gives an empty one."""
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     buckets = 4 * C.partitions(spark)
@@ -377,28 +520,73 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = whole.mapInArrow(C.lean(emit), "bucket int, windows binary").groupBy("bucket").applyInArrow(C.lean(meet), ", ".join(f"{c} long" for c in _MET))
     met = C.stored(met, "shared-windows")
 
+    def columns(g: pa.Table) -> dict[str, np.ndarray]:
+        return {k: g.column(k).to_numpy() for k in g.column_names}
+
+    def sort_out(key: tuple, group: pa.Table) -> pa.Table:
+        return pa.table(_sorted_out(columns(group), shingle, min_words, functions, agree))
+
+    # A document is as large a group as there is; many of them share a bucket to save calls.
+    bucket = F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")
+    told = C.stored(met.groupBy(bucket).applyInArrow(C.lean(sort_out), ", ".join(f"{c} long" for c in _TOLD)), "sorted-out")
+    spans = told.filter(F.col("kind") == _EXACT).select("doc", "start", "end", "mate", F.lit(1).cast("long").alias("exact"))
+    found = [C.stored(_verified(spark, whole, told.filter(F.col("kind") == _PROPOSED), min_words), "verified")]
+    opened = told.filter(F.col("kind") == _OPEN).select("doc", "key", "pivot", "fn")
+    members = met.filter("exact = 0 AND key <> 0").select("doc", "key", "pivot", "fn")
+
+    def still_open(key: tuple, group: pa.Table) -> pa.Table:
+        g = columns(group)
+        o = np.flatnonzero(g["open"] == 0)
+        o = o[np.lexsort((g["pivot"][o], g["doc"][o]))]
+        f, s, t = _united(_numbered(g["doc"][o]), g["pivot"][o], g["key"][o])
+        rows = np.flatnonzero(g["open"] == 1)
+        rows = rows[~_inside(g["doc"][o][f], s, t, g["doc"][rows], g["pivot"][rows], g["pivot"][rows] + shingle)]
+        rows = rows[_clusters(g["doc"][rows], g["pivot"][rows], g["fn"][rows], g["key"][rows], shingle, min_words)]
+        return pa.table({k: g[k][rows] for k in ("doc", "key", "pivot", "fn")})
+
+    def partners(turn: int):
+        def meet_next(key: tuple, group: pa.Table) -> pa.Table:
+            return pa.table(_next_partners(columns(group), turn))
+
+        return meet_next
+
+    def along(key: tuple, group: pa.Table) -> pa.Table:
+        g = columns(group)
+        cols = _chains(*(g[k] for k in ("doc", "mate", "pivot", "shift", "fn")), shingle, min_words, functions, agree)
+        return pa.table(dict(zip(("doc", "start", "end", "mate", "mate_start", "mate_end"), cols)))
+
+    turn = 0
+    while opened.limit(1).count():
+        turn += 1
+        known = found[0]
+        for x in found[1:]:
+            known = known.unionByName(x)
+        # The spans found so far and the open windows of a document, in one group: a span's end travels as its key.
+        both = opened.withColumn("open", F.lit(1)).unionByName(known.select("doc", F.col("end").alias("key"), F.col("start").alias("pivot"), F.lit(0).cast("long").alias("fn"), F.lit(0).alias("open")))
+        opened = C.stored(both.groupBy(bucket).applyInArrow(C.lean(still_open), "doc long, key long, pivot long, fn long"), "open-windows")
+        keys = C.stored(opened.select(F.col("key").alias("open_key")).distinct(), "open-keys")
+        own = members.join(C.if_small(keys), F.col("key") == F.col("open_key"), "left_semi").withColumn("open", F.lit(0)).unionByName(opened.withColumn("open", F.lit(1)))
+        by_key = F.pmod(F.hash("key"), F.lit(4 * C.partitions(spark))).alias("bucket")
+        links = C.stored(own.groupBy(by_key).applyInArrow(C.lean(partners(turn)), "doc long, mate long, pivot long, shift long, fn long, key long"), "further-links")
+        if not links.limit(1).count():
+            break
+        found.append(C.stored(_verified(spark, whole, links.groupBy(bucket).applyInArrow(C.lean(along), "doc long, start long, end long, mate long, mate_start long, mate_end long"), min_words), "verified"))
+    for x in found:
+        spans = spans.unionByName(x)
+
     def each(g: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-        cols = {k: g.column(k).to_numpy() for k in g.column_names}
+        cols = columns(g)
         order = np.argsort(cols["doc"], kind="stable")
         cols = {k: v[order] for k, v in cols.items()}
         ids, at = np.unique(cols["doc"], return_index=True)
         for d, a, b in zip(ids.tolist(), at, np.r_[at[1:], len(order)]):
             yield d, {k: v[a:b] for k, v in cols.items()}
 
-    def propose(key: tuple, group: pa.Table) -> pa.Table:
-        rows = [(d, *x) for d, part in each(group) for x in _proposed(part, d, shingle, min_words, functions, agree)]
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc", "start", "end", "mate", "mate_start", "mate_end"), cols)})
-
     def merge(key: tuple, group: pa.Table) -> pa.Table:
         rows = [(d, *x) for d, part in each(group) for x in _runs(part, d, min_words)]
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start_word": pa.array(cols[1], pa.int64()), "end_word": pa.array(cols[2], pa.int64()), "first_doc_id": pa.array(cols[3], pa.int64()), "exact": pa.array(cols[4], pa.bool_())})
 
-    # A document is as large a group as there is; many of them share a bucket to save calls.
-    bucket = F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")
-    proposed = C.stored(met.groupBy(bucket).applyInArrow(C.lean(propose), "doc long, start long, end long, mate long, mate_start long, mate_end long"), "near-duplicates")
-    spans = met.filter("exact = 1").select("doc", "start", "end", "mate", "exact").unionByName(_verified(spark, whole, proposed))
     return spans.groupBy(bucket).applyInArrow(C.lean(merge), "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
 
 

@@ -119,8 +119,53 @@ def test_near_duplicates_are_compared_word_by_word(docs_of, prose, monkeypatch):
     base = prose(300, 77).split()
     edited = [w if i % 25 else "changed" + str(i) for i, w in enumerate(base)]
     docs += [(3, " ".join(base)), (4, " ".join(edited))]
-    got = {x["doc_id"] for x in P.repeated_passages(docs_of(docs), agree=0.1).collect()}
-    assert got == {4}
+    got = {(x["doc_id"], x["first_doc_id"]) for x in P.repeated_passages(docs_of(docs)).collect()}
+    assert got == {(3, 3), (4, 3)}
+
+
+def test_links_among_the_later_documents_of_a_group(docs_of, prose):
+    """Document 1 has pieces too short for a passage and is the first of their pivots' groups."""
+    base = prose(120, 50).split()
+    pieces = " ".join(prose(50, 60 + i) + " " + " ".join(base[a : a + 20]) for i, a in enumerate((0, 25, 50, 75, 100)))
+    edited = [w if i % 17 else f"edit{i}" for i, w in enumerate(base)]
+    docs = [(1, pieces), (2, prose(90, 71) + " " + " ".join(base)), (3, prose(40, 72) + " " + " ".join(edited) + " " + prose(60, 73))]
+    got = {(x["doc_id"], x["first_doc_id"]) for x in P.repeated_passages(docs_of(docs)).collect()}
+    assert got == {(2, 2), (3, 2)}
+
+
+def test_near_duplicates_of_one_word_in_twenty(docs_of, prose):
+    r, docs = random.Random(3), []
+    for i in range(40):
+        base = prose(120, 4000 + i).split()
+        edited = [w if r.random() > 0.05 else f"edit{r.random()}" for w in base]
+        docs += [(2 * i, prose(70, 5000 + i) + " " + " ".join(base)), (2 * i + 1, " ".join(edited) + " " + prose(70, 6000 + i))]
+    got = {(x["doc_id"], x["first_doc_id"]) for x in P.repeated_passages(docs_of(docs)).collect()}
+    assert all(b == a - a % 2 for a, b in got) and len({a for a, b in got if a != b}) >= 36
+
+
+def test_exact_passages_from_the_least_length_on(docs_of, prose):
+    docs = []
+    for i, n in enumerate(n for n in range(46, 56) for _ in range(6)):
+        p = prose(n, 9000 + i)
+        docs += [(2 * i, prose(60, 100 + i) + " " + p + " " + prose(60, 300 + i)), (2 * i + 1, prose(75, 500 + i) + " " + p + " " + prose(50, 700 + i))]
+    lengths = {i: n for i, n in enumerate(n for n in range(46, 56) for _ in range(6))}
+    got = {x["doc_id"]: x["end_word"] - x["start_word"] for x in P.repeated_passages(docs_of(docs)).collect()}
+    assert set(got) == {d for i, n in lengths.items() for d in (2 * i, 2 * i + 1) if n >= 50}
+    assert all(got[d] == lengths[d // 2] for d in got)
+
+
+def test_partners_come_in_turns_until_all_have_met():
+    n = 9
+    g = {"key": np.zeros(n, np.int64), "doc": np.arange(n), "pivot": np.arange(n) * 3, "fn": np.zeros(n, np.int64), "open": np.ones(n, np.int64)}
+    met = []
+    for turn in range(1, 6):
+        x = P._next_partners(g, turn)
+        met += list(zip(x["mate"].tolist(), x["doc"].tolist()))
+        assert (x["shift"] == (x["doc"] - x["mate"]) * 3).all()
+    assert sorted(met) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    g["open"] = (g["doc"] == 4).astype(np.int64)
+    met = {(a, b) for turn in range(1, 6) for a, b in zip(*(P._next_partners(g, turn)[k].tolist() for k in ("mate", "doc")))}
+    assert met == {(a, b) for a in range(n) for b in range(a + 1, n) if 4 in (a, b)}
 
 
 @pytest.mark.parametrize("period", [1, 2, 7, 10, 12, 16, 20, 30, 45])
