@@ -85,10 +85,8 @@ def term_places(docs: DataFrame, lookup: Lookup, id_col: str, text_col: str) ->
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = C.Words(batch.column(1), lower=True, gaps=C.NOT_ALNUM)
-        at = np.flatnonzero(lookup.quick[w.hash >> _U(44)])
-        place = np.minimum(np.searchsorted(lookup.terms, w.hash[at]), len(lookup.terms) - 1)
-        good = lookup.terms[place] == w.hash[at]
-        at, place = at[good], place[good].astype(wide)
+        at, place = lookup.places(w.hash)
+        place = place.astype(wide)
         cuts = np.searchsorted(at, w.of)
         pos = (at - np.repeat(w.of[:-1], np.diff(cuts))).astype("<u4")
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))

@@ -1,18 +1,20 @@
 """Toxicity scores from the nearest labelled examples.
 
-Documents and examples are TF-IDF vectors; the nearest examples by exact cosine come from an inverted
-index whose postings lie in blocks with their largest weights, so that blocks which can't reach the
-k-th best similarity so far are never opened. The neighbours vote with weights that grow as the distance
-shrinks, and a monotone curve fitted on the examples' own left-out votes turns votes into probabilities.
-
-The examples are a bounded sample of the labelled rows (`max_examples`, by a hash of the id). Features
-are words and word beginnings; those of the vector are chosen by their association with the label in the
-sample, together with one that stands for all other words. Document frequencies are of all documents.
+Documents and examples are TF-IDF vectors over all features of the examples; the nearest examples by exact
+cosine come from an inverted index. Short posting lists are read whole; long ones lie in blocks of examples
+with their largest weights, so that blocks which can't reach the k-th best similarity so far are never
+opened. The neighbours vote with weights that grow as the distance shrinks, and a monotone curve fitted on
+the examples' own left-out votes turns votes into probabilities.
+
+The examples are a bounded sample of the labelled rows (`max_examples`, by a hash of the id). Features are
+words and word beginnings, all that the sample has. A weight is (1 + ln tf) * idf * relevance: document
+frequencies are of all documents, and relevance, learned on the sample, tells how unevenly the labels fall on
+the documents that have a feature, towards either label; no feature has none of it.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,10 +26,16 @@ from pyspark.sql import functions as F
 from . import common as C
 
 _U = np.uint64
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS = 12_000, 2_048, 25
+MAX_EXAMPLES, NEIGHBOURS = 12_000, 25
+#: Relevance of a feature whose documents have labels like all others; the G2 up to which that may be chance, and
+#: what it takes beyond that for half of the rest.
+LEAST_RELEVANCE, CHANCE_G2, HALF_G2 = 0.05, 4.0, 16.0
 #: Bytes of a word's beginnings that are features of their own.
 BEGINNINGS = (5, 6, 7)
-_BLOCK = 64
+#: Vectors of a block; a list is long, and read by blocks, if over 1 / LONG of all vectors are on it.
+_BLOCK, _LONG = 64, 32
+#: Queries that are searched together.
+_TOGETHER = 256
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,114 +60,121 @@ class Lookup:
 
     def __post_init__(self):
         self.terms = np.sort(np.asarray(self.terms, dtype=_U))
-        self.quick = np.zeros(1 << 20, bool)
-        self.quick[self.terms >> _U(44)] = True
-
-    def counts(self, owner: np.ndarray, hashes: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, tf) of the known hashes, ordered by text and term."""
-        if not len(self.terms):
-            return (np.zeros(0, np.int64),) * 3
-        at = np.flatnonzero(self.quick[hashes >> _U(44)])
+        bits = max(20, min(26, len(self.terms).bit_length() + 3))
+        self.shift = _U(64 - bits)
+        self.quick = np.zeros(1 << bits, bool)
+        self.quick[self.terms >> self.shift] = True
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the hashes are known, their places)."""
+        at = np.flatnonzero(self.quick[hashes >> self.shift])
+        if not len(self.terms) or not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         place = np.minimum(np.searchsorted(self.terms, hashes[at]), len(self.terms) - 1)
         good = self.terms[place] == hashes[at]
-        pair, tf = np.unique(owner[at[good]] * len(self.terms) + place[good], return_counts=True)
-        return pair // len(self.terms), pair % len(self.terms), tf
+        return at[good], place[good]
+
+    def counts(self, owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, tf) of the known hashes, ordered by text and term."""
+        at, place = self.places(hashes)
+        pair, tf = np.unique(owner[at] * np.int64(max(1, len(self.terms))) + place, return_counts=True)
+        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), tf
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of all places start[i] .. start[i] + size[i] - 1 of each row i."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
 class BlockMaxIndex:
-    """Exact cosine top-k over weighted unit vectors (rows of (term, weight)), for many queries at a time.
-
-    Postings of a term lie in blocks of _BLOCK vectors with the block's largest weight. The last term, which
-    every vector has, is a column instead of postings. A query first opens the blocks of the highest
-    bounds; its k-th best similarity then tells which of the others could still matter."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        last = n_terms - 1
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (sorted((t for t in vectors[i] if t != last), key=lambda t: -vectors[i][t])[:2], i)), dtype=np.int64)
-        self.n, self.last = len(vectors), last
-        self.blocks = -(-self.n // _BLOCK)
-        self.rest = np.zeros(self.blocks * _BLOCK)
-        t, p, w = [], [], []
-        for place, i in enumerate(self.order.tolist()):
-            for term, x in vectors[i].items():
-                if term == last:
-                    self.rest[place] = x
-                else:
-                    t.append(term)
-                    p.append(place)
-                    w.append(x)
-        t, p, w = np.array(t, np.int64), np.array(p, np.int64), np.array(w, np.float64)
-        order = np.lexsort((p, t))
-        self.place, self.weight = p[order], w[order]
-        cell = t[order] * self.blocks + self.place // _BLOCK
-        self.start = np.searchsorted(cell, np.arange(last * self.blocks + 1))
-        self.peak = np.zeros((last + 1, self.blocks))
-        if self.n:
-            np.maximum.at(self.peak, (t[order], self.place // _BLOCK), self.weight)
-            self.peak[last] = self.rest.reshape(-1, _BLOCK).max(axis=1)
-        self.full = np.arange(self.blocks * _BLOCK) < self.n
-
-    def _score(self, owner, term, weight, first, rest, q: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Similarities of the vectors of block b[i] to query q[i], a row each."""
-        out = rest[q][:, None] * self.rest.reshape(-1, _BLOCK)[b]
-        n = first[q + 1] - first[q]
-        pair = np.repeat(np.arange(len(q)), n)
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[q], n)
-        cell = term[entry] * self.blocks + b[pair]
-        m = self.start[cell + 1] - self.start[cell]
-        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[cell], m)
-        flat = np.repeat(pair, m) * _BLOCK + self.place[at] % _BLOCK
-        out += np.bincount(flat, weights=np.repeat(weight[entry], m) * self.weight[at], minlength=out.size).reshape(out.shape)
-        out[~self.full.reshape(-1, _BLOCK)[b]] = -1.0
-        return out
-
-    def search(self, queries: list[dict[int, float]], k: int, opened: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact cosine top-k over weighted unit vectors, given as entries (vector, term, weight).
+
+    Vectors that share their heaviest long-listed terms lie together in blocks of _BLOCK. Of the terms with long
+    lists a block holds a dense piece and the largest weight of each; a query first opens the blocks of
+    the highest bounds, and its k-th best similarity then tells which of the others could still matter. All
+    other lists are short and added up whole before."""
+
+    def __init__(self, vector: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
+        self.n, self.blocks = n, max(1, -(-n // _BLOCK))
+        size = np.bincount(term, minlength=n_terms)
+        long_terms = np.flatnonzero(size > max(n // _LONG, _BLOCK // 4))
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[long_terms] = np.arange(len(long_terms), dtype=np.int32)
+        is_long = self.column[term] >= 0
+        lead = [np.full(n, -1, np.int64) for _ in range(2)]
+        o = np.flatnonzero(is_long)
+        o = o[np.lexsort((term[o], -weight[o], vector[o]))]
+        rank = np.arange(len(o)) - np.searchsorted(vector[o], vector[o])
+        for i, x in enumerate(lead):
+            x[vector[o[rank == i]]] = self.column[term[o[rank == i]]]
+        self.order = np.lexsort((np.arange(n), lead[1], lead[0]))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.dense = np.zeros((self.blocks, len(long_terms), _BLOCK), np.float32)
+        at = place[vector[is_long]]
+        self.dense[at // _BLOCK, self.column[term[is_long]], at % _BLOCK] = weight[is_long]
+        self.peak = self.dense.max(axis=2, initial=0.0)
+        o = np.flatnonzero(~is_long)
+        o = o[np.lexsort((place[vector[o]], term[o]))]
+        self.start = np.searchsorted(term[o], np.arange(n_terms + 1))
+        self.place, self.weight = place[vector[o]].astype(np.int32), weight[o].astype(np.float32)
+        self.full = np.arange(self.blocks * _BLOCK) < n
+
+    def search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, opened: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, vector, similarity), the k most similar vectors of every query in order, ties to the lower
-        place of the index; vectors without any shared term aren't found."""
-        if not self.n or not queries:
+        place of the index; vectors without any shared term aren't found. The queries are entries ordered by query."""
+        if not self.n or not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        n = len(queries)
-        rows = [(i, t, w) for i, v in enumerate(queries) for t, w in v.items() if t != self.last]
-        owner, term, weight = (np.array(x, kind) for x, kind in zip(zip(*rows) if rows else ((), (), ()), (np.int64, np.int64, np.float64)))
-        rest = np.array([v.get(self.last, 0.0) for v in queries])
-        first = np.searchsorted(owner, np.arange(n + 1))
-        used, column = np.unique(term, return_inverse=True)
-        dense = np.zeros((n, len(used) + 1))
-        dense[owner, column] = weight
-        dense[:, -1] = rest
-        bound = dense @ self.peak[np.r_[used, self.last]]
+        width = self.blocks * _BLOCK
+        col = self.column[term]
+        o = np.flatnonzero(col < 0)
+        row, at = _spread(self.start[term[o]], self.start[term[o] + 1] - self.start[term[o]])
+        short = np.bincount(owner[o][row] * width + self.place[at], weights=weight[o][row] * self.weight[at], minlength=n * width).reshape(n, self.blocks, _BLOCK)
+        q = np.zeros((n, self.dense.shape[1]), np.float32)
+        q[owner[col >= 0], col[col >= 0]] = weight[col >= 0]
+        bound = q @ self.peak.T + short.max(axis=2)
+        score = np.full((n, self.blocks, _BLOCK), -1.0)
+
+        def open_blocks(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(axis=0)):
+                some = np.flatnonzero(need[:, b])
+                score[some, b] = short[some, b] + q[some] @ self.dense[b]
+
         opened = min(max(opened, -(-k // _BLOCK) + 1), self.blocks)
-        top = np.argpartition(-bound, opened - 1, axis=1)[:, :opened]
-        q, b = np.repeat(np.arange(n), opened), top.ravel()
-        score = self._score(owner, term, weight, first, rest, q, b)
-        each = score.reshape(n, -1)
-        least = -np.partition(-each, k - 1, axis=1)[:, k - 1] if each.shape[1] >= k else np.full(n, -1.0)
-        need = bound + 1e-9 >= np.maximum(least, 1e-12)[:, None]
-        np.put_along_axis(need, top, False, axis=1)
-        found = [self._kept(q, b, score, least)]
-        more_q, more_b = np.nonzero(need)
-        for at in range(0, len(more_q), 1 << 15):
-            q, b = more_q[at : at + (1 << 15)], more_b[at : at + (1 << 15)]
-            found.append(self._kept(q, b, self._score(owner, term, weight, first, rest, q, b), least))
-        q, place, s = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((place, -s, q))
-        q, place, s = q[order], place[order], s[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        good = rank < k
-        return q[good], self.order[place[good]], s[good]
+        first = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(first, np.argpartition(-bound, opened - 1, axis=1)[:, :opened], True, axis=1)
+        open_blocks(first)
+        score.reshape(n, width)[:, ~self.full] = -1.0
+        least = self._kth(score.reshape(n, width), k)
+        open_blocks(~first & (bound + 1e-5 >= np.maximum(least, 1e-9)[:, None]))
+        flat = score.reshape(n, width)
+        flat[:, ~self.full] = -1.0
+        least = self._kth(flat, k)
+        who, where = np.nonzero((flat >= least[:, None]) & (flat > 1e-9))
+        s = flat[who, where]
+        order = np.lexsort((where, -s, who))
+        who, where, s = who[order], where[order], s[order]
+        good = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[good], self.order[where[good]], s[good]
 
     @staticmethod
-    def _kept(q: np.ndarray, b: np.ndarray, score: np.ndarray, least: np.ndarray):
-        row, off = np.nonzero((score >= least[q][:, None]) & (score > 1e-12))
-        return q[row], b[row] * _BLOCK + off, score[row, off]
+    def _kth(score: np.ndarray, k: int) -> np.ndarray:
+        k = min(k, score.shape[1])
+        return -np.partition(-score, k - 1, axis=1)[:, k - 1]
+
+
+_READY: dict[str, "Model"] = {}
 
 
 @dataclass
 class Model:
+    """Entries (vector, term, weight) of the distinct vectors of the examples; `toxic` of the `total` examples
+    with a vector are labelled 1, ids names one of them."""
+
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
-    rest: float
-    vectors: list[dict[int, float]]
+    scale: np.ndarray  # idf * relevance
+    entries: tuple[np.ndarray, np.ndarray, np.ndarray]
     toxic: np.ndarray
     total: np.ndarray
     ids: list
@@ -167,43 +182,67 @@ class Model:
     k: int
     curve_x: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     curve_y: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def start(self) -> "Model":
-        self.lookup = Lookup(self.terms)
-        self.index = BlockMaxIndex(self.vectors, len(self.terms) + 1)
-        return self
-
-    def votes(self, vectors: list[dict[int, float]], without: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
-        """Raw votes, and the neighbours (query, example, similarity). Examples with equal vectors are one
-        that counts for up to eight. Left out: of query i, one copy of example without[i] labelled own[i]."""
-        q, e, s = self.index.search(vectors, self.k + (without is not None))
-        pos, n = self.toxic[e], self.total[e]
+        """This model with its index, kept by the Python worker for its next tasks."""
+        ready = _READY.get(self.token)
+        if ready is None:
+            _READY.clear()
+            self.lookup = Lookup(self.terms)
+            self.index = BlockMaxIndex(*self.entries, len(self.ids), len(self.terms))
+            _READY[self.token] = ready = self
+        ready.curve_x, ready.curve_y = self.curve_x, self.curve_y
+        return ready
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "index")}
+
+    def vectors(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries (text, term, weight) of the unit vectors of texts."""
+        owner, hashes, _ = features(col)
+        owner, term, tf = self.lookup.counts(owner, hashes)
+        return owner, term, unit_weights(owner, term, tf, self.scale, len(col))
+
+    def votes(self, owner, term, weight, n: int, without: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Raw votes of n queries, and the neighbours (query, vector, similarity). The k nearest examples vote;
+        of examples that tie as one vector and don't all fit, each counts in part. Left out: of query i, one
+        example with vector without[i] that is labelled own[i]."""
+        q, e, s = self.index.search(owner, term, weight, n, self.k + (without is not None))
+        pos, have = self.toxic[e], self.total[e]
         if without is not None:
             mine = e == without[q]
-            pos, n = pos - np.where(mine, own[q], 0.0), n - mine
-        w = np.where(n > 0, np.minimum(n, 8.0) / np.maximum(n, 1.0), 0.0) / (1.02 - np.minimum(1.0, s)) ** 2
-        hits = np.bincount(q, weights=w * pos, minlength=len(vectors))
-        weight = np.bincount(q, weights=w * n, minlength=len(vectors))
-        return (hits + 2 * self.prior) / (weight + 2), (q, e, s)
+            pos, have = pos - np.where(mine, own[q], 0.0), have - mine
+        before = np.cumsum(have) - have
+        first = np.searchsorted(q, q)
+        take = np.clip(self.k - (before - before[first] if len(q) else before), 0, have)
+        w = take / np.maximum(have, 1.0) * s / (1.02 - np.minimum(1.0, s)) ** 2
+        hits = np.bincount(q, weights=w * pos, minlength=n)
+        whole = np.bincount(q, weights=w * have, minlength=n)
+        return (hits + 2 * self.prior) / (whole + 2), (q, e, s)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(raw, self.curve_x, self.curve_y), 0.0, 1.0)
 
 
-def make_vectors(owner: np.ndarray, term: np.ndarray, tf: np.ndarray, n_words: np.ndarray, idf: np.ndarray, rest: float) -> list[dict[int, float]]:
-    """Unit vectors; the last place stands for all words that are no term. Weights are rounded so that
-    equal documents have equal vectors; a text without terms has none."""
-    out: list[dict[int, float]] = [{} for _ in range(len(n_words))]
-    weight = (1 + np.log(tf)) * idf[term] if len(tf) else np.zeros(0)
-    for i, t, x in zip(owner.tolist(), term.tolist(), weight.tolist()):
-        out[i][t] = x
-    for i, v in enumerate(out):
-        if v:
-            other = rest * math.log1p(n_words[i] / 40.0)
-            norm = math.sqrt(sum(x * x for x in v.values()) + other * other)
-            out[i] = {t: round(x / norm, 3) for t, x in v.items()}
-            out[i][len(idf)] = round(other / norm, 3)
-    return out
+def unit_weights(owner: np.ndarray, term: np.ndarray, tf: np.ndarray, scale: np.ndarray, n: int) -> np.ndarray:
+    weight = (1 + np.log(tf)) * scale[term] if len(tf) else np.zeros(0)
+    norm = np.sqrt(np.bincount(owner, weights=weight * weight, minlength=n))
+    return (weight / np.maximum(norm[owner], 1e-12)).astype(np.float32)
+
+
+def relevance(n: np.ndarray, pos: np.ndarray, all_n: float, all_pos: float) -> np.ndarray:
+    """From LEAST_RELEVANCE up, by the G2 of the labels of the n examples (pos of them toxic) that have a feature."""
+    n, pos = n.astype(float), pos.astype(float)
+
+    def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+
+    share = n / max(all_n, 1.0)
+    neg, all_neg = n - pos, all_n - all_pos
+    g2 = 2 * (part(pos, all_pos * share) + part(neg, all_neg * share) + part(all_pos - pos, all_pos * (1 - share)) + part(all_neg - neg, all_neg * (1 - share)))
+    more = np.maximum(0.0, g2 - CHANCE_G2)
+    return LEAST_RELEVANCE + more / (more + HALF_G2)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,100 +270,117 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Model:
-    """train: (id, label) rows, of which at most max_examples are used: a bound on what the driver holds."""
+def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
+    """train: (id, label) rows, of which those of at most max_examples ids are used: a bound on what the driver
+    holds. Of rows with equal ids the largest label counts, and the least text. Ids without a document have no
+    vector; examples without words vote for texts without known features."""
     spark = docs.sparkSession
-    sample = train.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_examples)
+    kind = docs.schema[id_col].dataType.simpleString()
+    sample = train.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_examples)
     sample = C.stored(sample, "examples")
     # At most max_examples narrow rows are broadcast.
     body = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    texts = C.stored(body.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).select("_id", "_text", "_y"), "example-texts")
+    texts = C.stored(body.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")), "example-texts")
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, hashes, _ = features(batch.column(0))
+        owner, hashes, _ = features(batch.column(2))
         order = np.lexsort((hashes, owner))
         o, h = owner[order], hashes[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
-        y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[o[new]]
-        term, inverse = np.unique(h[new], return_inverse=True)
-        return C.pa_batch(term=term.view(np.int64), n=np.bincount(inverse, minlength=len(term)).astype(np.int64), pos=np.bincount(inverse, weights=y, minlength=len(term)).astype(np.int64))
-
-    totals = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("pos")).first()
-    n, pos = totals["n"], totals["pos"]
-    terms = C.arrow_map(texts.select("_text", "_y"), words, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).filter("n >= 3")
-    if 0 < pos < n:
-        def part(o: Column, all_: float, share: Column) -> Column:
-            return F.when(o > 0, o * F.ln(o / (F.lit(float(all_)) * share))).otherwise(0.0)
-
-        share = F.col("n") / float(n)
-        neg = F.col("n") - F.col("pos")
-        g2 = 2 * (part(F.col("pos"), pos, share) + part(neg, n - pos, share) + part(pos - F.col("pos"), pos, 1 - share) + part((n - pos) - neg, n - pos, 1 - share))
-        more = F.col("pos") * float(n - pos) > neg * float(pos)
-        chosen = terms.filter(F.col("n") < n).withColumn("g2", g2).filter((F.col("g2") > 16) & more).orderBy(F.desc("g2"), "term").limit(max_terms).collect()
-    else:
-        chosen = []
-    lookup = Lookup(np.array([r["term"] for r in chosen], dtype=np.int64).view(_U))
-    v = len(lookup.terms)
+        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (h[1:] != h[:-1])][: len(h)])
+        tf = np.diff(np.r_[new, len(h)]).astype("<i4")
+        cut = np.searchsorted(o[new], np.arange(batch.num_rows + 1))
+        h = h[new].astype("<u8")
+        spans = list(zip(cut[:-1], cut[1:]))
+        return C.pa_batch(_id=batch.column(0), _y=batch.column(1), hashes=pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), tf=pa.array([tf[a:b].tobytes() for a, b in spans], pa.binary()))
+
+    # The features of at most max_examples texts.
+    rows = C.arrow_map(texts.select("_id", "_y", "_text"), words, f"_id {kind}, _y int, hashes binary, tf binary").toArrow().sort_by("_id")
+    ids, y = rows.column("_id").to_pylist(), np.array(rows.column("_y").to_pylist(), np.int64)
+    packed = [rows.column(c).to_pylist() for c in ("hashes", "tf")]
+    hashes, tf = (np.frombuffer(b"".join(x), t) for x, t in zip(packed, ("<u8", "<i4")))
+    owner = np.repeat(np.arange(len(ids)), [len(x) // 8 for x in packed[0]])
+    terms, term = np.unique(hashes, return_inverse=True)
+    lookup, v = Lookup(terms), len(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = np.zeros(v, np.int64), 0
+        df, seen = np.zeros(v + 1, "<i8"), 0
         for batch in (b for whole in batches for b in C.cut(whole)):
-            owner, hashes, n_words = features(batch.column(0))
+            own, h, n_words = features(batch.column(0))
             seen += len(n_words)
-            df += np.bincount(lookup.counts(owner, hashes, len(n_words))[1], minlength=v)
-        yield C.pa_batch(term=np.r_[np.arange(v), -1], n=np.r_[df, seen])
+            df[:v] += np.bincount(lookup.counts(own, h)[1], minlength=v)
+        df[v] = seen
+        yield C.pa_batch(part=np.arange(0, v + 1, _PART), df=pa.array([df[a : a + _PART].tobytes() for a in range(0, v + 1, _PART)], pa.binary()))
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<i8") for x in group.column("df").to_pylist()]
+        return pa.table({"part": group.column("part")[:1], "df": pa.array([np.sum(parts, axis=0).astype("<i8").tobytes()], pa.binary())})
+
+    # A row per _PART features and task, then one per _PART features.
+    counted = body.select("_text").mapInArrow(C.lean(frequency), "part long, df binary").groupBy("part").applyInArrow(C.lean(add), "part long, df binary").toArrow().sort_by("part")
+    df = np.frombuffer(b"".join(counted.column("df").to_pylist()), "<i8") if counted.num_rows else np.zeros(v + 1, np.int64)
+    n, pos = len(ids), int(y.sum())
+    scale = np.log1p(df[v] / (1.0 + df[:v])) * relevance(np.bincount(term, minlength=v), np.bincount(term, weights=y[owner], minlength=v), n, pos)
+    weight = unit_weights(owner, term, tf, scale, n)
+    # Equal vectors are one, named by the least id.
+    classes: dict[tuple, int] = {}
+    of = np.array([classes.setdefault(x, len(classes)) if x[0] else -1 for x in zip(*packed)], np.int64).reshape(-1)
+    lead = np.full(len(classes), n, np.int64)
+    np.minimum.at(lead, of[of >= 0], np.flatnonzero(of >= 0))
+    is_lead = np.zeros(n, bool)
+    is_lead[lead] = True
+    entry = is_lead[owner]
+    empty = of < 0
+    prior = (float(y[empty].sum()) + 0.5 * pos / max(n, 1)) / (float(empty.sum()) + 0.5)
+    model = Model(
+        terms, scale, (of[owner[entry]], term[entry], weight[entry]), np.bincount(of[~empty], weights=y[~empty], minlength=len(classes)).astype(float),
+        np.bincount(of[~empty], minlength=len(classes)).astype(float), [ids[i] for i in lead], prior, k,
+    )
+    if len(classes):
+        own = dict(zip(ids, of.tolist()))
+
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = model.start()
+            for batch in (b for whole in batches for b in slices(whole)):
+                where = np.array([own[i] for i in batch.column(0).to_pylist()], np.int64)
+                label = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+                raw = m.votes(*m.vectors(batch.column(2)), batch.num_rows, where, label)[0]
+                yield C.pa_batch(raw=np.where(where < 0, m.prior, raw), y=label)
+
+        # One pair of numbers per example.
+        seen = texts.select("_id", "_y", "_text").mapInArrow(C.lean(left_out), "raw double, y double").toArrow()
+        raw, label = (seen.column(c).to_numpy() for c in ("raw", "y"))
+        order = np.lexsort((label, raw))
+        model.curve_x, model.curve_y = isotonic(raw[order], label[order], np.ones(len(raw)))
+    return model
 
-    # One row per term and task; v is at most max_terms.
-    counted = {r["term"]: r["n"] for r in body.select("_text").mapInArrow(C.lean(frequency), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log1p(counted.get(-1, 0) / (1 + counted.get(t, 0))) for t in range(v)])
 
-    def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        owner, hashes, n_words = features(batch.column(1))
-        made = make_vectors(*lookup.counts(owner, hashes, len(n_words)), n_words, idf, 1.0)
-        return C.pa_batch(_id=batch.column(0), _y=batch.column(2), term=pa.array([list(x) for x in made], pa.list_(pa.int32())), weight=pa.array([list(x.values()) for x in made], pa.list_(pa.float64())))
+#: Features whose document frequencies travel as one row.
+_PART = 1 << 14
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = C.arrow_map(texts.select("_id", "_text", "_y"), vectors, f"_id {kind}, _y int, term array<int>, weight array<double>").orderBy("_id").collect()
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault(tuple(zip(r["term"], r["weight"])), []).append(r)
-    empty = groups.pop((), [])
-    prior = (sum(r["_y"] for r in empty) + 0.5 * pos / max(n, 1)) / (len(empty) + 0.5)
-    keys = list(groups)
-    model = Model(lookup.terms, idf, 1.0, [dict(x) for x in keys], np.array([sum(r["_y"] for r in groups[x]) for x in keys], float), np.array([len(groups[x]) for x in keys], float), [groups[x][0]["_id"] for x in keys], prior, k).start()
-    if keys:
-        again = [(i, y, have) for i in range(len(keys)) for y, have in ((0.0, model.total[i] - model.toxic[i]), (1.0, model.toxic[i])) if have]
-        raws, ys, ws = [], [x[1] for x in again], [x[2] for x in again]
-        for some in C.batches_of(again, 512):
-            raws.append(model.votes([model.vectors[x[0]] for x in some], np.array([x[0] for x in some]), np.array([x[1] for x in some]))[0])
-        raws = np.concatenate(raws)
-        if empty:
-            raws, ys, ws = np.r_[raws, model.prior], [*ys, sum(r["_y"] for r in empty) / len(empty)], [*ws, float(len(empty))]
-        model.curve_x, model.curve_y = isotonic(raws, np.array(ys), np.array(ws))
-    return model
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Batches of at most _TOGETHER rows and about STEP_BYTES of text."""
+    for part in C.cut(batch):
+        for at in range(0, part.num_rows, _TOGETHER):
+            yield part.slice(at, _TOGETHER)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
     """(doc_id, score, predicted, evidence), a row per input row; evidence: the nearest examples' ids and
-    similarities. Null and empty texts, and texts without a term, get the rate of such examples. Only id
-    and text are read."""
+    similarities. Null and empty texts, and texts without a known feature, get the rate of such examples. Only
+    id and text are read."""
     kind = docs.schema[id_col].dataType.simpleString()
-    lean = Model(model.terms, model.idf, model.rest, model.vectors, model.toxic, model.total, model.ids, model.prior, model.k, model.curve_x, model.curve_y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = lean.start()
-        for batch in (b for whole in batches for b in C.cut(whole)):
-            owner, hashes, n_words = features(batch.column(1))
-            made = make_vectors(*m.lookup.counts(owner, hashes, len(n_words)), n_words, m.idf, m.rest)
-            filled = [i for i, v in enumerate(made) if v]
-            raw = np.full(len(made), m.prior)
-            near: list[list] = [[] for _ in made]
-            for some in C.batches_of(filled, 512):
-                raw[some], (q, e, sim) = m.votes([made[i] for i in some])
-                best = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < evidence)
-                for i, x, y in zip(q[best].tolist(), e[best].tolist(), sim[best].tolist()):
-                    near[some[i]].append({"example": str(m.ids[x]), "similarity": round(y, 6)})
+        m = model.start()
+        for batch in (b for whole in batches for b in slices(whole)):
+            n = batch.num_rows
+            raw, (q, e, sim) = m.votes(*m.vectors(batch.column(1)), n)
+            raw[np.bincount(q, minlength=n) == 0] = m.prior
+            best = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < evidence)
+            near: list[list] = [[] for _ in range(n)]
+            for i, x, y in zip(q[best].tolist(), e[best].tolist(), sim[best].tolist()):
+                near[i].append({"example": str(m.ids[x]), "similarity": round(y, 6)})
             p = m.probability(raw)
             yield C.pa_batch(doc_id=batch.column(0), score=p, predicted=(p >= 0.5).astype(np.int32), evidence=pa.array(near, pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64())]))))
 
