@@ -31,11 +31,42 @@ def test_ids_equal_the_tokenizers_file(text):
         assert bpe.encode(t).tolist() == _T.encode(t, add_special_tokens=False).ids
 
 
-def test_cut_points():
-    for n in (1, 7, 8, 9, 2047, 2048, 2049, 5000):
-        cuts = P.cut_points(n)
-        assert sum(x for x, _ in cuts) == n and all(0 < x <= s and 2048 % s == 0 for x, s in cuts)
-        assert sum(s for _, s in cuts) - n < 8
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 5000), max_size=120), st.sampled_from([64, 100, 2048]))
+def test_bins_against_their_rules(lengths, capacity):
+    p = P.Packer(capacity, 8)
+    for i, n in enumerate(lengths):
+        p.add(i, bytes(4 * n))
+    p.finish()
+    covered, bins = {}, {}
+    for (i, _, at, n), number, off in p.out:
+        covered.setdefault(i, []).append((at, n))
+        bins.setdefault(number, []).append((off, n))
+    for i, n in enumerate(lengths):
+        end = 0
+        for at, size in sorted(covered[i]):
+            assert at == end and size > 0
+            end += size
+        assert end == n
+    assert sorted(bins) == list(range(p.n_bins))
+    for b in bins.values():
+        end = 0
+        for off, n in sorted(b):
+            assert off == end
+            end += n
+        assert end <= capacity
+
+
+def test_a_bin_of_class_k_takes_k_documents():
+    p = P.Packer(2048)
+    for i in range(300):
+        p.add(i, bytes(4 * 680))  # class 3, and nothing to fill the rests with but its own kind
+    assert all(n == 680 for (_, _, _, n), _, _ in p.out[:3]) and [b for _, b, _ in p.out[:3]] == [0, 0, 0]
+    p = P.Packer(2048)
+    for i in range(64):
+        p.add(i, bytes(4 * (2048 // (1 + i % 4))))
+    p.finish()
+    assert all(n == len(t) // 4 for (_, t, _, n), _, _ in p.out) and len({b for _, b, _ in p.out}) <= 16 + 8 + 6 + 4
 
 
 def check(rows, docs, plain):
@@ -72,7 +103,7 @@ def test_odd_rows(docs_of, odd, plain):
     check(rows, odd, plain)
     assert P.pack(docs_of([])).count() == 0
     with pytest.raises(ValueError):
-        P.pack(docs_of([]), capacity=1000)
+        P.pack(docs_of([]), grain=0)
 
 
 def test_little_padding(spark, sf, plain):
@@ -81,6 +112,13 @@ def test_little_padding(spark, sf, plain):
     assert (padded - total) / padded < 0.03
 
 
+def test_most_documents_stay_whole(spark, sf):
+    rows = P.pack(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")).collect()
+    short = {(r["doc_id"], r["doc_tokens"]) for r in rows if r["doc_tokens"] <= 2048}
+    cut = {(r["doc_id"], r["doc_tokens"]) for r in rows if r["doc_tokens"] <= 2048 and r["length"] < r["doc_tokens"]}
+    assert len(cut) < 0.15 * len(short)
+
+
 def test_ids_are_carried(docs_of, plain):
     rows = P.pack(docs_of([(1, "hello world again")]), ids=True).collect()
     got = [x for r in sorted(rows, key=lambda r: r["start"]) for x in r["ids"]]
