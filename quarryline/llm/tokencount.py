@@ -18,14 +18,23 @@ from . import common as C
 from .tokens import EOD, FastBpe, vocabulary
 
 BLOCK_TOKENS = 1 << 20
+_DTYPE = {2: "<u2", 4: "<u4"}
+
+
+def width_of(vocab: str, end_id: int = EOD) -> int:
+    """Bytes of an id in flat files: 2 if the largest id of the vocabulary (a line per token) and end_id fit, else 4."""
+    with open(vocab, "rb") as f:
+        most = max((int(line.split()[1]) for line in f if line.strip()), default=0)
+    return 2 if max(most, end_id) < 1 << 16 else 4
 
 
 def write_flat(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int = EOD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs as flat files of 2-byte ids, one per task, into folder; a stored table (file, ordinal,
-    doc_id) of what came where. The marker's own string in a text is ordinary text, so end_id stands
+    """Write docs as flat files of ids, one per task, into folder; a stored table (file, ordinal, doc_id) of what
+    came where. Ids have 2 bytes where all of the vocabulary's fit, else 4 (width_of). The marker's own string in a text is ordinary text, so end_id stands
     only at ends. A retried task writes the same file again and replaces it in one step."""
     kind = docs.schema[id_col].dataType.simpleString()
     path = vocab or vocabulary()
+    dtype = _DTYPE[width_of(path, end_id)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -35,11 +44,11 @@ def write_flat(docs: DataFrame, folder: str, vocab: str | None = None, end_id: i
         name, bpe, at = f"part-{task.partitionId():07d}.bin", FastBpe.at(path, False), 0
         fs.create_dir(root, recursive=True)
         draft = f"{root}/_{name}.{task.taskAttemptId()}"
-        tail = np.array([end_id], "<u2").tobytes()
+        tail = np.array([end_id], dtype).tobytes()
         with fs.open_output_stream(draft) as out:
             for batch in (b for whole in batches for b in C.cut(whole, 4 << 20)):
                 for text in batch.column(1).to_pylist():
-                    out.write(bpe.encode(text).astype("<u2").tobytes() + tail)
+                    out.write(bpe.encode(text).astype(dtype).tobytes() + tail)
                 yield C.pa_batch(file=pa.array([name] * batch.num_rows), ordinal=np.arange(at, at + batch.num_rows), doc_id=batch.column(0))
                 at += batch.num_rows
         fs.move(draft, f"{root}/{name}")
@@ -61,7 +70,7 @@ def scan(files: DataFrame, folder: str, end_id: int = EOD, width: int = 2, block
     and its tokens without the separator. Tokens after a file's last separator are a document with
     ended = false. Empty files have none; a file that isn't a whole number of ids is an error."""
     spark = files.sparkSession
-    dtype = {2: "<u2", 4: "<u4"}[width]
+    dtype = _DTYPE[width]
     step = block_tokens * width
     blocks = files.filter("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / step).cast("long"))).alias("block"))
 
@@ -96,7 +105,8 @@ def count_tokens(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_i
     spark = docs.sparkSession
     folder = C.scratch(spark, "flat")
     order = write_flat(docs, folder, vocab, EOD, id_col, text_col)
-    found = C.stored(scan(flat_files(spark, folder), folder, EOD, 2, block_tokens), "token-counts")
+    width = width_of(vocab or vocabulary())
+    found = C.stored(scan(flat_files(spark, folder), folder, EOD, width, block_tokens), "token-counts")
     fs, root = C.as_fs(folder)
     if order.limit(1).count():
         fs.delete_dir(root)

@@ -50,7 +50,11 @@ def word_rule(words: str) -> Rule:
 
 
 CONTRACT_RULES = (host_rule("allow", "org/"), host_rule("block", "example.org/es/"), host_rule("block", "example.org/en/1"), host_rule("allow", "com/fr/"), host_rule("block", "com/de/"))
-PATTERN_RULES = tuple(word_rule(w) for w in ("cheap pills", "spam farm", "free bets", "casino", "porn", "viagra", "xxx", "torrent", "warez", "payday loans", "adult", "escort", "slots", "betting"))
+_WORDS_BLOCKED = """cheap pills|spam farm|free bets|casino|porn|viagra|xxx|torrent|warez|payday loans|adult|escort|slots|betting|poker|roulette|blackjack|jackpot|
+bookmaker|sex|sexcam|webcam girls|nude|nudes|milf|hentai|erotic|fetish|hookup|cialis|levitra|tramadol|xanax|online pharmacy|steroids|weight loss pills|keygen|crack download|
+serial keys|pirated|nulled|cracked|free iphone|click here|make money fast|work from home|get rich|binary options|forex signals|crypto giveaway|double your bitcoin|mlm|
+replica watches|fake ids|buy followers|buy likes|link farm|seo backlinks|doorway|parked domain|malware|phishing|ransomware|stresser|booter|gore|swingers|camgirls|onlyfans leaks|loan shark"""
+PATTERN_RULES = tuple(word_rule(w) for w in dict.fromkeys(_WORDS_BLOCKED.replace("\n", "").split("|")))
 
 
 def host_of(url: Column) -> Column:
@@ -75,7 +79,7 @@ def rarest_tokens(places: DataFrame, rules: list[Rule]) -> dict[str, str | None]
     if not literals:
         return {r.name: None for r in rules}
     own = spark.createDataFrame([(t,) for t in literals], "token string")
-    tokens = places.select(F.explode(F.array_distinct(F.split(F.lower("place"), "[^a-z0-9]+"))).alias("token"))
+    tokens = places.select(F.explode(_tokens("place")).alias("token"))
     counted = tokens.join(F.broadcast(own) if len(literals) <= BROADCAST_RULES else own, "token").groupBy("token").count()
     # One row per literal of the rule set, which the driver holds already.
     seen = {r["token"]: r["count"] for r in counted.collect()}
@@ -119,21 +123,40 @@ def classify(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_c
     return split.mapInArrow(run, schema)
 
 
+def _lower(text: str) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _tokens(text: str) -> Column:
+    return F.array_distinct(F.split(_lower(text), "[^a-z0-9]+"))
+
+
 def _joined(split: DataFrame, rules: list[Rule], rarest: dict[str, str | None], default: str) -> DataFrame:
-    """The same for any number of rules: distinct places meet the rules filed under their tokens."""
+    """The same for any number of rules: distinct places meet the rules filed under their tokens. Rules without
+    a literal are tried where the places lie."""
     spark = split.sparkSession
-    table = C.stored(spark.createDataFrame([(rarest[r.name], r.name, r.action, r.regex, r.rank) for r in rules], "token string, rule string, action string, regex string, rank int"), "url-rules")
-    places = C.stored(split.select(F.concat("host", "path").alias("place")).distinct(), "url-places")
-    tokens = places.select("place", F.explode(F.array_distinct(F.split(F.lower("place"), "[^a-z0-9]+"))).alias("token"))
-    # A token of very many URLs is filed with few rules only if those have no rarer one; AQE splits it.
-    fetched = tokens.join(table.filter("token IS NOT NULL"), "token").select("place", "rule", "action", "regex", "rank")
-    general = [r for r in rules if rarest[r.name] is None]
+    filed: dict[str, list[tuple]] = {}
+    for r in rules:
+        if rarest[r.name] is not None:
+            filed.setdefault(rarest[r.name], []).append((r.name, r.action, r.regex, r.rank))
+    one = "struct<rule:string,action:string,regex:string,rank:int>"
+    index = C.stored(spark.createDataFrame(list(filed.items()), f"token string, rules array<{one}>"), "url-rules")
+    places = C.stored(split.groupBy(F.concat("host", "path").alias("place")).agg(F.count(F.lit(1)).alias("n")), "url-places")
+    tokens = places.select("place", F.explode(_tokens("place")).alias("token"))
+    uses = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    found = C.stored(index.join(uses, "token"), "url-rules-used")
+    fetched = C.lookup(tokens, found, "token", "uses").select("place", F.explode("rules").alias("r")).select("place", "r.*")
+    fits = fetched.filter(F.expr("place RLIKE regex")).select("place", "rule", "action", "rank")
+    general = [(re.compile(r.regex), r) for r in sorted(rules, key=lambda r: (-r.rank, r.name)) if rarest[r.name] is None]
     if general:
-        few = spark.createDataFrame([(r.name, r.action, r.regex, r.rank) for r in general], "rule string, action string, regex string, rank int")
-        fetched = fetched.unionByName(places.join(few, F.lit(True)).select("place", "rule", "action", "regex", "rank"))
-    fits = fetched.filter(F.expr("place RLIKE regex"))
-    best = fits.groupBy("place").agg(F.max_by(F.struct("rule", "action"), F.struct("rank", F.expr("translate(rule, '', '')"))).alias("b"), F.lit(1).alias("_w"))
-    got = split.withColumn("place", F.concat("host", "path")).join(best, "place", "left")
+        def always(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hits = [(p, r) for p in batch.column(0).to_pylist() for r in [next((r for regex, r in general if regex.search(p)), None)] if r]
+            return C.pa_batch(place=pa.array([p for p, _ in hits], pa.string()), rule=pa.array([r.name for _, r in hits], pa.string()), action=pa.array([r.action for _, r in hits], pa.string()), rank=pa.array([r.rank for _, r in hits], pa.int32()))
+
+        fits = fits.unionByName(C.arrow_map(places.select("place"), always, "place string, rule string, action string, rank int"))
+    best = fits.groupBy("place").agg(F.min_by(F.struct("rule", "action"), F.struct(-F.col("rank"), F.col("rule"))).alias("b"))
+    every = C.stored(places.join(best, "place", "left").select("place", "n", "b"), "url-verdicts")
+    got = C.lookup(split.withColumn("place", F.concat("host", "path")), every, "place", "n")
     return got.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.action", F.lit(default)).alias("verdict"))
 
 

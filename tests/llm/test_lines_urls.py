@@ -90,6 +90,22 @@ def test_only_fetched_rules_run(spark):
     assert got[1] == ("a", "block") and got[3] == ("c", "flag") and got[2] == (None, "allow")
 
 
+def test_both_paths_agree_on_thousands_of_rules(spark, sf):
+    """Rules from the pages' own tokens, many of equal rank, some without a literal, in any letters."""
+    urls = [r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").select("url").collect()]
+    tokens = sorted({t for u in urls for t in re.findall("[a-z0-9]+", u.lower())})
+    rules = [U.word_rule(t) for t in tokens] + [U.Rule(f"pair-{a}-{b}", "flag", f"{a}.*{b}", (a, b), i % 3) for i, (a, b) in enumerate(zip(tokens, tokens[7:]))]
+    rules += [U.Rule("long", "flag", "[0-9]{4}", (), 1), U.Rule("also-long", "block", "[0-9]{4}", (), 1), U.Rule("kelvin", "block", "k", ("k",), 9)]
+    rules += [U.word_rule(f"{t} {i}") for t in tokens for i in range(2000 // len(tokens) + 1)]
+    assert len(rules) > 2000
+    more = [(-1, "http://a.net/casino/porn"), (-2, "http://a.net/\u212a"), (-3, None), (-4, None), (-5, "http://\u0130.net/CASINO")]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + more, "page_id long, url string")
+    rules += [U.word_rule("casino"), U.word_rule("porn")]
+    a, b = (sorted(map(tuple, U.classify(d, rules, broadcast_rules=n).collect()), key=str) for n in (U.BROADCAST_RULES, 0))
+    assert a == b and {r[3] for r in a if r[0] in (-1, -5)} == {"word:casino"} and {r[3] for r in a if r[0] == -2} == {"word:net"}
+    assert len({r[3] for r in a}) > 20
+
+
 def test_no_rules_and_no_pages(spark):
     d = spark.createDataFrame([], "page_id long, url string")
     assert U.classify(d, list(U.CONTRACT_RULES)).count() == 0

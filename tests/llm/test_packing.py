@@ -156,6 +156,17 @@ def test_half_an_id_is_an_error(spark, tmp_path):
         TC.scan(TC.flat_files(spark, str(tmp_path)), str(tmp_path), 9).collect()
 
 
+def test_ids_of_a_large_vocabulary_take_four_bytes(docs_of, tmp_path):
+    """The same vocabulary with its last tokens renumbered beyond 65,535, one of them by 65,536 more than the end id."""
+    lines = open(T.vocabulary(), "rb").read().splitlines()
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"\n".join(x.split()[0] + b" %d" % (int(x.split()[1]) if int(x.split()[1]) < 300 else int(x.split()[1]) - 300 + T.EOD + 65_536 - 5) for x in lines))
+    assert TC.width_of(T.vocabulary()) == 2 and TC.width_of(str(path)) == 4
+    docs = [(i, f"the {w} of a long sentence about nothing") for i, w in enumerate(["river", "house", "engine", ""])]
+    want = {r["doc_id"]: r["n_tokens"] for r in TC.count_tokens(docs_of(docs)).collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in TC.count_tokens(docs_of(docs), vocab=str(path)).collect()} == want
+
+
 def test_count_query(spark, sf):
     bpe = T.FastBpe.at(T.vocabulary(), False)
     docs = {r["doc_id"]: len(bpe._whole(r["text"])) // 4 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
