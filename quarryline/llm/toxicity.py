@@ -14,12 +14,14 @@ the documents that have a feature, towards either label; no feature has none of
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ LEAST_RELEVANCE, CHANCE_G2, HALF_G2 = 0.05, 4.0, 16.0
 #: Bytes of a word's beginnings that are features of their own.
 BEGINNINGS = (5, 6, 7)
 #: Vectors of a block; a list is long, and read by blocks, if over 1 / LONG of all vectors are on it.
-_BLOCK, _LONG = 64, 32
-#: Queries that are searched together.
-_TOGETHER = 256
+_BLOCK, _LONG = 64, 16
+#: Queries that are searched together, and entries of short lists that are added up in one step.
+_TOGETHER, _PAIRS = 128, 1 << 19
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,10 +83,7 @@ class Lookup:
         return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), tf
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of all places start[i] .. start[i] + size[i] - 1 of each row i."""
-    row = np.repeat(np.arange(len(size)), size)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+_POSTING = np.dtype([("place", "<i4"), ("weight", "<f4")])
 
 
 class BlockMaxIndex:
@@ -118,7 +117,9 @@ class BlockMaxIndex:
         o = np.flatnonzero(~is_long)
         o = o[np.lexsort((place[vector[o]], term[o]))]
         self.start = np.searchsorted(term[o], np.arange(n_terms + 1))
-        self.place, self.weight = place[vector[o]].astype(np.int32), weight[o].astype(np.float32)
+        posted = np.empty(len(o), _POSTING)
+        posted["place"], posted["weight"] = place[vector[o]], weight[o]
+        self.posted = posted.view(np.int64)  # both halves in one read
         self.full = np.arange(self.blocks * _BLOCK) < n
 
     def search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, opened: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,12 +130,26 @@ class BlockMaxIndex:
         width = self.blocks * _BLOCK
         col = self.column[term]
         o = np.flatnonzero(col < 0)
-        row, at = _spread(self.start[term[o]], self.start[term[o] + 1] - self.start[term[o]])
-        short = np.bincount(owner[o][row] * width + self.place[at], weights=weight[o][row] * self.weight[at], minlength=n * width).reshape(n, self.blocks, _BLOCK)
+        who, size_of = owner[o], self.start[term[o] + 1] - self.start[term[o]]
+        short = np.zeros((n, width), np.float32)
+        ends = np.cumsum(np.bincount(who, weights=size_of, minlength=n))
+        a = 0
+        while a < n and len(self.posted):  # as many queries as have _PAIRS entries, one at least
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _PAIRS, side="right")))
+            some = o[np.searchsorted(who, a) : np.searchsorted(who, b)]
+            size = size_of[np.searchsorted(who, a) : np.searchsorted(who, b)]
+            at = np.arange(size.sum()) + np.repeat(self.start[term[some]] - np.cumsum(size) + size, size)
+            # 64-bit places and weights: bincount is slow with any others.
+            got = np.take(self.posted, at, mode="clip").view(_POSTING)
+            flat = np.repeat((owner[some] - a) * width, size) + got["place"]
+            each = np.repeat(weight[some].astype(np.float64), size) * got["weight"]
+            short[a:b] = np.bincount(flat, weights=each, minlength=(b - a) * width).reshape(b - a, width)
+            a = b
+        short = short.reshape(n, self.blocks, _BLOCK)
         q = np.zeros((n, self.dense.shape[1]), np.float32)
         q[owner[col >= 0], col[col >= 0]] = weight[col >= 0]
         bound = q @ self.peak.T + short.max(axis=2)
-        score = np.full((n, self.blocks, _BLOCK), -1.0)
+        score = np.full((n, self.blocks, _BLOCK), -1.0, np.float32)
 
         def open_blocks(need: np.ndarray) -> None:
             for b in np.flatnonzero(need.any(axis=0)):
@@ -142,39 +157,38 @@ class BlockMaxIndex:
                 score[some, b] = short[some, b] + q[some] @ self.dense[b]
 
         opened = min(max(opened, -(-k // _BLOCK) + 1), self.blocks)
+        top = np.argpartition(-bound, opened - 1, axis=1)[:, :opened]
         first = np.zeros((n, self.blocks), bool)
-        np.put_along_axis(first, np.argpartition(-bound, opened - 1, axis=1)[:, :opened], True, axis=1)
+        np.put_along_axis(first, top, True, axis=1)
         open_blocks(first)
         score.reshape(n, width)[:, ~self.full] = -1.0
-        least = self._kth(score.reshape(n, width), k)
-        open_blocks(~first & (bound + 1e-5 >= np.maximum(least, 1e-9)[:, None]))
+        seen = score[np.arange(n)[:, None], top].reshape(n, -1)
+        last = max(0, seen.shape[1] - k)
+        # The k-th best so far is a bound for the k-th best of all, which the rest is sorted from.
+        least = np.maximum(np.partition(seen, last, axis=1)[:, last], 1e-9)
+        open_blocks(~first & (bound + 1e-5 >= least[:, None]))
         flat = score.reshape(n, width)
         flat[:, ~self.full] = -1.0
-        least = self._kth(flat, k)
-        who, where = np.nonzero((flat >= least[:, None]) & (flat > 1e-9))
+        who, where = np.nonzero(flat >= least[:, None])
         s = flat[who, where]
         order = np.lexsort((where, -s, who))
         who, where, s = who[order], where[order], s[order]
         good = np.arange(len(who)) - np.searchsorted(who, who) < k
         return who[good], self.order[where[good]], s[good]
 
-    @staticmethod
-    def _kth(score: np.ndarray, k: int) -> np.ndarray:
-        k = min(k, score.shape[1])
-        return -np.partition(-score, k - 1, axis=1)[:, k - 1]
-
 
 _READY: dict[str, "Model"] = {}
 
 
 @dataclass
 class Model:
-    """Entries (vector, term, weight) of the distinct vectors of the examples; `toxic` of the `total` examples
-    with a vector are labelled 1, ids names one of them."""
+    """The distinct vectors of the examples; `toxic` of the `total` examples with a vector are labelled 1, ids
+    names one of them."""
 
     terms: np.ndarray  # sorted hashes
     scale: np.ndarray  # idf * relevance
-    entries: tuple[np.ndarray, np.ndarray, np.ndarray]
+    folder: str  # the examples' features, a table in the shared folder that workers read themselves
+    classes: dict[bytes, int]  # vector of each digest
     toxic: np.ndarray
     total: np.ndarray
     ids: list
@@ -190,11 +204,34 @@ class Model:
         if ready is None:
             _READY.clear()
             self.lookup = Lookup(self.terms)
-            self.index = BlockMaxIndex(*self.entries, len(self.ids), len(self.terms))
+            self.index = BlockMaxIndex(*self.entries(), len(self.ids), len(self.terms))
             _READY[self.token] = ready = self
         ready.curve_x, ready.curve_y = self.curve_x, self.curve_y
         return ready
 
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, term, weight) of the distinct vectors."""
+        import pyarrow.parquet as pq
+
+        fs, root = C.as_fs(self.folder)
+        owner, term, tf, seen = [], [], [], set()
+        for info in fs.get_file_info(pa.fs.FileSelector(root)):
+            if not info.path.endswith(".parquet"):
+                continue
+            with fs.open_input_file(info.path) as file:
+                for batch in pq.ParquetFile(file).iter_batches(256, columns=["digest", "hashes", "tf"]):
+                    for digest, h, n in zip(*(c.to_pylist() for c in batch.columns)):
+                        if (i := self.classes.get(digest)) is not None and i not in seen:
+                            seen.add(i)
+                            h = np.frombuffer(h, "<u8")
+                            owner.append(np.full(len(h), i, np.int32))
+                            term.append(np.searchsorted(self.terms, h).astype(np.int32))
+                            tf.append(np.frombuffer(n, "<i4"))
+        if not owner:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        owner, term, tf = (np.concatenate(x) for x in (owner, term, tf))
+        return owner, term, unit_weights(owner, term, tf, self.scale, len(self.ids))
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "index")}
 
@@ -291,15 +328,26 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
         cut = np.searchsorted(o[new], np.arange(batch.num_rows + 1))
         h = h[new].astype("<u8")
         spans = list(zip(cut[:-1], cut[1:]))
-        return C.pa_batch(_id=batch.column(0), _y=batch.column(1), hashes=pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), tf=pa.array([tf[a:b].tobytes() for a, b in spans], pa.binary()))
-
-    # The features of at most max_examples texts.
-    rows = C.arrow_map(texts.select("_id", "_y", "_text"), words, f"_id {kind}, _y int, hashes binary, tf binary").toArrow().sort_by("_id")
-    ids, y = rows.column("_id").to_pylist(), np.array(rows.column("_y").to_pylist(), np.int64)
-    packed = [rows.column(c).to_pylist() for c in ("hashes", "tf")]
-    hashes, tf = (np.frombuffer(b"".join(x), t) for x, t in zip(packed, ("<u8", "<i4")))
-    owner = np.repeat(np.arange(len(ids)), [len(x) // 8 for x in packed[0]])
-    terms, term = np.unique(hashes, return_inverse=True)
+        hs, ns = ([x[a:b].tobytes() for a, b in spans] for x in (h, tf))
+        digest = [hashlib.md5(x + n).digest() if x else b"" for x, n in zip(hs, ns)]
+        return C.pa_batch(_id=batch.column(0), _y=batch.column(1), digest=pa.array(digest, pa.binary()), hashes=pa.array(hs, pa.binary()), tf=pa.array(ns, pa.binary()))
+
+    found = C.stored(C.arrow_map(texts.select("_id", "_y", "_text"), words, f"_id {kind}, _y int, digest binary, hashes binary, tf binary"), "example-features")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [np.frombuffer(x, "<u8") for x in batch.column(1).to_pylist()]
+            y = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in h])
+            term, at = np.unique(np.concatenate(h) if h else np.zeros(0, _U), return_inverse=True)
+            yield C.pa_batch(term=term.view(np.int64), n=np.bincount(at, minlength=len(term)).astype(np.int64), pos=np.bincount(at, weights=y, minlength=len(term)).astype(np.int64))
+
+    # A row per feature of at most max_examples texts, and one per example.
+    counts = found.select("_y", "hashes").mapInArrow(C.lean(tally), "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toArrow()
+    terms, in_n, in_pos = (counts.column(c).to_numpy() for c in ("term", "n", "pos"))
+    order = np.argsort(terms.view(_U))
+    terms, in_n, in_pos = terms.view(_U)[order], in_n[order], in_pos[order]
+    rows = found.select("_id", "_y", "digest").toArrow().sort_by("_id")
+    ids, y, digests = rows.column("_id").to_pylist(), np.array(rows.column("_y").to_pylist(), np.int64), rows.column("digest").to_pylist()
     lookup, v = Lookup(terms), len(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,22 +367,16 @@ def fit(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str
     counted = body.select("_text").mapInArrow(C.lean(frequency), "part long, df binary").groupBy("part").applyInArrow(C.lean(add), "part long, df binary").toArrow().sort_by("part")
     df = np.frombuffer(b"".join(counted.column("df").to_pylist()), "<i8") if counted.num_rows else np.zeros(v + 1, np.int64)
     n, pos = len(ids), int(y.sum())
-    scale = np.log1p(df[v] / (1.0 + df[:v])) * relevance(np.bincount(term, minlength=v), np.bincount(term, weights=y[owner], minlength=v), n, pos)
-    weight = unit_weights(owner, term, tf, scale, n)
+    scale = (np.log1p(df[v] / (1.0 + df[:v])) * relevance(in_n, in_pos, n, pos)).astype(np.float32)
     # Equal vectors are one, named by the least id.
-    classes: dict[tuple, int] = {}
-    of = np.array([classes.setdefault(x, len(classes)) if x[0] else -1 for x in zip(*packed)], np.int64).reshape(-1)
-    lead = np.full(len(classes), n, np.int64)
-    np.minimum.at(lead, of[of >= 0], np.flatnonzero(of >= 0))
-    is_lead = np.zeros(n, bool)
-    is_lead[lead] = True
-    entry = is_lead[owner]
+    classes: dict[bytes, int] = {}
+    of = np.array([classes.setdefault(x, len(classes)) if x else -1 for x in digests], np.int64).reshape(-1)
     empty = of < 0
+    lead = np.full(len(classes), n, np.int64)
+    np.minimum.at(lead, of[~empty], np.flatnonzero(~empty))
     prior = (float(y[empty].sum()) + 0.5 * pos / max(n, 1)) / (float(empty.sum()) + 0.5)
-    model = Model(
-        terms, scale, (of[owner[entry]], term[entry], weight[entry]), np.bincount(of[~empty], weights=y[~empty], minlength=len(classes)).astype(float),
-        np.bincount(of[~empty], minlength=len(classes)).astype(float), [ids[i] for i in lead], prior, k,
-    )
+    toxic, total = (np.bincount(of[~empty], weights=x, minlength=len(classes)) for x in (y[~empty], np.ones(int((~empty).sum()))))
+    model = Model(terms, scale, found._stored_at, classes, toxic, total, [ids[i] for i in lead], prior, k)
     if len(classes):
         own = dict(zip(ids, of.tolist()))
 
