@@ -300,8 +300,17 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, weight: str, how: str =
 
 
 def _null_safe(a: DataFrame, b: DataFrame, key: str, how: str) -> DataFrame:
-    right = b.withColumnRenamed(key, "__key")
-    return a.join(right, F.col(key).eqNullSafe(F.col("__key")), how).drop("__key")
+    name = fresh("__key", a, b)
+    right = b.withColumnRenamed(key, name)
+    return a.join(right, F.col(key).eqNullSafe(F.col(name)), how).drop(name)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores behind it as it takes for none of the tables to have it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def batches_of(it: Iterator, n: int) -> Iterator[list]:
@@ -336,5 +345,6 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose id is among the (stored) ids; a null id is only removed by a null."""
-    gone = if_small(ids.select(F.col(id_col).alias("__gone")))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    name = fresh("__gone", docs)
+    gone = if_small(ids.select(F.col(id_col).alias(name)))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

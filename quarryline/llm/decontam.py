@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 from .toxicity import Lookup
@@ -253,9 +255,9 @@ def latent_basis(places: DataFrame, items: Items, extra: int = 32, seed: int = 7
     return idf, telling, left
 
 
-def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_COSINE, min_lcs=MIN_LCS, sure_lcs=SURE_LCS) -> DataFrame:
+def search(places: DataFrame, items: Items, idf, telling, basis, item_type: T.DataType = T.LongType(), min_cosine=MIN_COSINE, min_lcs=MIN_LCS, sure_lcs=SURE_LCS) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, cosine, lcs, answer) of the best match of each document and
-    item; words are runs of letters, digits and bytes beyond ASCII, counted from 0."""
+    item (by lcs, then cosine; of equal ones the first in the document); words are runs of letters, digits and bytes beyond ASCII, counted from 0."""
     v = len(items.lookup.terms)
     wide, kind = _term_type(v), places.schema["doc_id"].dataType.simpleString()
     lengths = np.array([len(w) for w in items.words])
@@ -273,7 +275,7 @@ def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_
             x = ((1 + np.log(tf)) * idf[t]) @ basis[t]
             q[i] = x / max(np.linalg.norm(x), 1e-12)
     masks = [_masks(w) for w in items.words]
-    answers, ids = items.answers, items.ids
+    answers, ids, arrow_type = items.answers, items.ids, to_arrow_type(item_type)
 
     def windows(o, p, t):
         """(text, item, first word) of the stretches that have the telling words a match needs."""
@@ -339,9 +341,9 @@ def search(places: DataFrame, items: Items, idf, telling, basis, min_cosine=MIN_
             if found:
                 keys = sorted(found)
                 cols = list(zip(*(found[k] for k in keys)))
-                yield C.pa_batch(doc_id=batch.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), item_id=pa.array([ids[k[1]] for k in keys], pa.int64()), start_word=np.array(cols[0], np.int64), end_word=np.array(cols[1], np.int64), cosine=np.array(cols[2]), lcs=np.array(cols[3]), answer=np.array(cols[4]))
+                yield C.pa_batch(doc_id=batch.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), item_id=pa.array([ids[k[1]] for k in keys], arrow_type), start_word=np.array(cols[0], np.int64), end_word=np.array(cols[1], np.int64), cosine=np.array(cols[2]), lcs=np.array(cols[3]), answer=np.array(cols[4]))
 
-    return places.mapInArrow(C.lean(run), f"doc_id {kind}, item_id long, start_word long, end_word long, cosine double, lcs double, answer double")
+    return places.mapInArrow(C.lean(run), f"doc_id {kind}, item_id {item_type.simpleString()}, start_word long, end_word long, cosine double, lcs double, answer double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, items_at_once: int = ITEMS, **limits) -> DataFrame:
@@ -354,7 +356,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items_at_once items, ordered by id; only id, text, item and answer columns are read. Empty tables give an empty result."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string"))).filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).distinct()
+    item_type = benchmark.schema[item_col].dataType
+    chosen = benchmark.select(F.col(item_col), F.col(item_text).cast("string"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string"))).filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).distinct()
     out = None
     # Items come to the driver a block at a time.
     for rows in C.batches_of(chosen.orderBy(item_col, item_text).toLocalIterator(), items_at_once):
@@ -362,9 +365,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not len(items.lookup.terms):
             continue
         places = term_places(docs, items.lookup, id_col, text_col)
-        part = search(places, items, *latent_basis(places, items), **limits)
+        part = search(places, items, *latent_basis(places, items), item_type, **limits)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id long, start_word long, end_word long, cosine double, lcs double, answer double")
+    return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {item_type.simpleString()}, start_word long, end_word long, cosine double, lcs double, answer double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

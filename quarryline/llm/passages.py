@@ -655,7 +655,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others stays with all its columns; documents that had a passage and are left with fewer than
     least_words words go. Documents without such passages, or with a null id or text, stay as they are."""
     spans = repeated_passages(docs, id_col, text_col, **settings).filter("first_doc_id <> doc_id")
-    per_doc = C.stored(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans")).withColumnRenamed("doc_id", "__of"), "cuts")
+    of, cuts_of = C.fresh("__of", docs), C.fresh("__spans", docs)
+    per_doc = C.stored(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts_of)).withColumnRenamed("doc_id", of), "cuts")
     names, schema = docs.columns, docs.schema
     at, chars = names.index(text_col), names.index(chars_col) if chars_col in names else None
 
@@ -676,7 +677,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    joined = docs.join(C.if_small(per_doc), F.col(id_col).cast("long") == F.col("__of"), "left").drop("__of")
+    joined = docs.join(C.if_small(per_doc), F.col(id_col).cast("long") == F.col(of), "left").drop(of)
     return C.arrow_map(joined, one, schema)
 
 

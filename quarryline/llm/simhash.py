@@ -267,7 +267,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     again = C.stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(id_col)), "repeated-ids")
     if not again.limit(1).count():
         return left
-    once = left.join(C.if_small(again.withColumnRenamed(id_col, "__again")), F.col(id_col).eqNullSafe(F.col("__again")), "left_semi").dropDuplicates([id_col])
+    name = C.fresh("__again", left)
+    once = left.join(C.if_small(again.withColumnRenamed(id_col, name)), F.col(id_col).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col])
     return C.without(left, again, id_col).unionByName(once)
 
 

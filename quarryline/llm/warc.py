@@ -128,6 +128,14 @@ class _Members:
         out, self.have = self.have[:n], self.have[n:]
         return out
 
+    def skip_http(self, left: int) -> int:
+        """Go past the HTTP head at the start of a block of `left` bytes; the bytes it takes, 0 if there is none."""
+        head = self.take(min(left, 1 << 20))
+        at = head.find(b"\r\n\r\n") + 4
+        at = at if at > 3 and head[:5] == b"HTTP/" or at > 3 and b" HTTP/" in head[: head.find(b"\r\n")] else 0
+        self.have = head[at:] + self.have
+        return at
+
     def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
         while (at := self.have.find(mark)) < 0:
             if len(self.have) > most:
@@ -141,7 +149,9 @@ class _Members:
 
 
 def read_records(f, chunk_bytes: int) -> Iterator[dict]:
-    """The chunks of every record of an open archive, in order."""
+    """The chunks of every record of an open archive (WARC/1.0 or 1.1), in order. The payload of a block of type
+    application/http begins behind its HTTP head; any other block is payload whole. What a record's headers
+    don't state is null; digests other than SHA-1 count as not stated."""
     from urllib.parse import unquote
 
     src = _Members(f)
@@ -151,9 +161,14 @@ def read_records(f, chunk_bytes: int) -> Iterator[dict]:
             raise ValueError(f"not a record: {lines[0][:40]!r}")
         h = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
         left = int(h["content-length"])
-        http = src.until(b"\r\n\r\n")
-        left -= len(http) + 4
-        common = {"record_id": h["warc-record-id"], "record_type": h["warc-type"], "page": unquote(h["x-page-id"]) if "x-page-id" in h else None, "refers_to": unquote(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, "url": h.get("warc-target-uri"), "stated_digest": h["warc-payload-digest"].partition(":")[2], "stated_bytes": int(h["x-payload-length"])}
+        if h.get("content-type", "").lower().startswith("application/http"):
+            left -= src.skip_http(left)
+        stated = h.get("warc-payload-digest", "")
+        common = {
+            "record_id": h.get("warc-record-id"), "record_type": h.get("warc-type"), "page": unquote(h["x-page-id"]) if "x-page-id" in h else None,
+            "refers_to": unquote(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, "url": h.get("warc-target-uri"),
+            "stated_digest": stated.partition(":")[2] if stated.lower().startswith("sha1:") else None, "stated_bytes": int(h["x-payload-length"]) if "x-payload-length" in h else None,
+        }
         sha, n, chunk = hashlib.sha1(), 0, 0
         while True:
             data = src.take(min(chunk_bytes, left))
@@ -175,8 +190,9 @@ _CHUNKS = "file string, record_id string, record_type string, page string, refer
 
 def read(spark: SparkSession, files: DataFrame, folder: str, chunk_bytes: int = CHUNK, data: bool = True) -> DataFrame:
     """The record table: a row per chunk with its number, offset, bytes (null unless `data`), and the SHA-1
-    and size of the payload up to and with it; `last` marks a record's final chunk. A payload that
-    doesn't match its stated digest, or a truncated record, is an error. An empty payload is one chunk."""
+    and size of the payload up to and with it; `last` marks a record's final chunk. A payload written here that
+    doesn't match its stated digest, or a truncated record, is an error; others, whose digests may be of another
+    encoding, can be told by stated_digest. An empty payload is one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = C.as_fs(folder)
@@ -186,7 +202,7 @@ def read(spark: SparkSession, files: DataFrame, folder: str, chunk_bytes: int =
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     held, size = [], 0
                     for c in read_records(f, chunk_bytes):
-                        if c["last"] and c["record_type"] == "response" and (c["sha1"], c["read_bytes"]) != (c["stated_digest"], c["stated_bytes"]):
+                        if c["last"] and c["record_type"] == "response" and c["stated_bytes"] is not None and (c["sha1"], c["read_bytes"]) != (c["stated_digest"], c["stated_bytes"]):
                             raise ValueError(f"{name}: {c['record_id']} doesn't match its digest")
                         if not data:
                             c["data"] = None

@@ -108,3 +108,10 @@ def test_query_against_brute_force(spark, sf):
     for r in got:
         t, b = dict(docs)[r["doc_id"]].split(), dict(bench)[r["item_id"]].split()
         assert brute_lcs(b, t) >= 0.55 * len(b)
+
+
+def test_item_ids_of_any_type(docs_of, prose, spark):
+    item = prose(40, 8)
+    bench = spark.createDataFrame([("mmlu/7", item), ("gsm/1", prose(40, 9)), (None, item)], "item_id string, text string")
+    got = D.contaminated(docs_of([(1, prose(60, 1) + " " + item), (2, prose(90, 2))]), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, "mmlu/7")]

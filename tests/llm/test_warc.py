@@ -67,3 +67,29 @@ def test_damage_is_an_error():
 
 def test_query_equals_sql(spark, sf, duck, same):
     same(W.query(spark, sf), duck.sql(W.ORACLE))
+
+
+def test_records_of_other_writers():
+    def record(version, kind, block, *more):
+        head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", f"Content-Length: {len(block)}", *more]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    data = b"".join([
+        record("WARC/1.0", "warcinfo", b"software: any\r\n\r\n", "Content-Type: application/warc-fields"),
+        record("WARC/1.0", "request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        record("WARC/1.0", "response", http + b"body\r\n\r\nmore", "Content-Type: application/http;msgtype=response", "WARC-Payload-Digest: sha256:00"),
+        record("WARC/1.1", "response", b"no head at all", "Content-Type: application/http"),
+        record("WARC/1.1", "metadata", b""),
+        record("WARC/1.1", "revisit", http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:ABC"),
+    ])
+    for chunk in (3, 1000):
+        got = list(W.read_records(io.BytesIO(data), chunk))
+        whole, at = [], b""
+        for r in got:
+            at += r["data"]
+            if r["last"]:
+                whole.append((r["record_type"], at, r["stated_digest"], r["read_bytes"]))
+                assert r["sha1"] == base64.b32encode(hashlib.sha1(at).digest()).decode()
+                at = b""
+        assert whole == [("warcinfo", b"software: any\r\n\r\n", None, 17), ("request", b"", None, 0), ("response", b"body\r\n\r\nmore", None, 12), ("response", b"no head at all", None, 14), ("metadata", b"", None, 0), ("revisit", b"", "ABC", 0)]
