@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -59,9 +62,10 @@ class OverlapReranker:
         return [len(q & set(d.lower().split())) / max(1, len(q)) for d in documents]
 
 
-def embed_batch(embedder: Embedder, texts: list[str], attempts: int = 5, sleep=lambda s: None) -> list[list[float]]:
+def embed_batch(embedder: Embedder, texts: list[str], attempts: int = 5, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> list[list[float]]:
     """Vectors of all texts, checked as a whole. A batch that is too large is halved, down to one text; a
-    transient failure is tried again with doubling waits, or as long as the provider asks."""
+    transient failure is tried again after the wait that the provider asks for, or one that doubles from half
+    a second up to 30, of which jitter takes up to a half away so that tasks don't return at once."""
     for n in range(attempts):
         try:
             out = embedder.embed(texts)
@@ -70,11 +74,11 @@ def embed_batch(embedder: Embedder, texts: list[str], attempts: int = 5, sleep=l
             if len(texts) == 1:
                 raise
             half = len(texts) // 2
-            return embed_batch(embedder, texts[:half], attempts, sleep) + embed_batch(embedder, texts[half:], attempts, sleep)
+            return embed_batch(embedder, texts[:half], attempts, sleep, jitter) + embed_batch(embedder, texts[half:], attempts, sleep, jitter)
         except Transient as e:
             if n == attempts - 1:
                 raise
-            sleep(e.wait or min(30.0, 0.5 * 2**n))
+            sleep(e.wait or min(30.0, 0.5 * 2**n) * (1 - 0.5 * jitter()))
     if len(out) != len(texts) or any(len(v) != embedder.dim for v in out):
         raise ValueError("the provider's answer isn't one vector of the dimension per text")
     return out
