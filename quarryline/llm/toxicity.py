@@ -38,6 +38,8 @@ BEGINNINGS = (5, 6, 7)
 _BLOCK, _LONG = 64, 16
 #: Queries that are searched together, and entries of short lists that are added up in one step.
 _TOGETHER, _PAIRS = 128, 1 << 19
+#: Texts whose results a worker remembers for their copies; others are searched again.
+_KNOWN = 40_000
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,6 +207,7 @@ class Model:
             _READY.clear()
             self.lookup = Lookup(self.terms)
             self.index = BlockMaxIndex(*self.entries(), len(self.ids), len(self.terms))
+            self.known: dict[int, dict[bytes, tuple]] = {}
             _READY[self.token] = ready = self
         ready.curve_x, ready.curve_y = self.curve_x, self.curve_y
         return ready
@@ -233,7 +236,7 @@ class Model:
         return owner, term, unit_weights(owner, term, tf, self.scale, len(self.ids))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "index")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "index", "known")}
 
     def vectors(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries (text, term, weight) of the unit vectors of texts."""
@@ -415,15 +418,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.start()
+        known = m.known.setdefault(evidence, {})
         for batch in (b for whole in batches for b in slices(whole)):
-            n = batch.num_rows
-            raw, (q, e, sim) = m.votes(*m.vectors(batch.column(1)), n)
-            raw[np.bincount(q, minlength=n) == 0] = m.prior
-            best = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < evidence)
-            near: list[list] = [[] for _ in range(n)]
-            for i, x, y in zip(q[best].tolist(), e[best].tolist(), sim[best].tolist()):
-                near[i].append({"example": str(m.ids[x]), "similarity": round(y, 6)})
-            p = m.probability(raw)
+            keys = [hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in batch.column(1).to_pylist()]
+            here = {k: known[k] for k in keys if k in known}
+            new = {k: i for i, k in enumerate(keys) if k not in here}
+            if new:
+                n = len(new)
+                raw, (q, e, sim) = m.votes(*m.vectors(batch.column(1).take(pa.array(list(new.values())))), n)
+                raw[np.bincount(q, minlength=n) == 0] = m.prior
+                best = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < evidence)
+                near: list[list] = [[] for _ in range(n)]
+                for i, x, y in zip(q[best].tolist(), e[best].tolist(), sim[best].tolist()):
+                    near[i].append((x, round(y, 6)))
+                made = dict(zip(new, zip(m.probability(raw).tolist(), near)))
+                here |= made
+                if len(known) > _KNOWN:
+                    known.clear()
+                known.update(made)
+            p = np.array([here[k][0] for k in keys])
+            near = [[{"example": str(m.ids[x]), "similarity": y} for x, y in here[k][1]] for k in keys]
             yield C.pa_batch(doc_id=batch.column(0), score=p, predicted=(p >= 0.5).astype(np.int32), evidence=pa.array(near, pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64())]))))
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(C.lean(run), f"doc_id {kind}, score double, predicted int, evidence array<struct<example string, similarity double>>")
