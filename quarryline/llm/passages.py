@@ -356,11 +356,11 @@ def agreement(a: np.ndarray, b: np.ndarray) -> float:
     return float(_covered_words(a, b).mean()) if len(a) else 0.0
 
 
-def passage_in(a: np.ndarray, b: np.ndarray, lo: int, hi: int, min_words: int) -> tuple[int, int, bool] | None:
+def passage_in(a: np.ndarray, b: np.ndarray, lo: int, hi: int, min_words: int, covered: np.ndarray | None = None) -> tuple[int, int, bool] | None:
     """(start, end, exact) of the passage of a about [lo, hi) whose words b has too: it runs from one agreeing
     word to another, with at most GAP others between two; None if it is shorter than min_words or less than
-    VERIFIED of its words agree."""
-    told = np.flatnonzero(_covered_words(a, b))
+    VERIFIED of its words agree. covered: _covered_words(a, b), where it is known."""
+    told = np.flatnonzero(_covered_words(a, b) if covered is None else covered)
     if not len(told):
         return None
     cut = np.flatnonzero(np.r_[True, np.diff(told) > GAP + 1])
@@ -373,6 +373,20 @@ def passage_in(a: np.ndarray, b: np.ndarray, lo: int, hi: int, min_words: int) -
     return i, j, n == j - i and a[i:j].tobytes() in b.tobytes()
 
 
+def equal_runs(a: np.ndarray, b: np.ndarray, min_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of the stretches of a's words (hashes) that lie in runs of min_words words that b has too,
+    and of b's that a has."""
+    if len(a) < min_words or len(b) < min_words:
+        return [], []
+    grams = [C.gram_hash(x, min_words) for x in (a, b)]
+    out = []
+    for g, other in (grams, grams[::-1]):
+        hit = np.flatnonzero(np.isin(g, other))
+        _, start, end = _united(np.zeros(len(hit), np.int64), hit, hit + min_words)
+        out.append(list(zip(start.tolist(), end.tolist())))
+    return out[0], out[1]
+
+
 def _verified(spark, whole: DataFrame, proposed: DataFrame, min_words: int) -> DataFrame:
     """(doc, start, end, mate, exact) of the proposed passages whose words agree: the words about each are read
     on both sides and compared, which also tells where it begins and ends. A stretch of a document that many
@@ -403,11 +417,17 @@ def _verified(spark, whole: DataFrame, proposed: DataFrame, min_words: int) -> D
         out: list[tuple] = []
         for doc, lo, hi, mate, there, back, a0, b0, a, b in zip(*(c.to_pylist() for c in batch.columns)):
             for own, its in ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x in a for y in b):
-                if hit := passage_in(own, its, lo - a0, hi - a0, min_words):
+                exact, covered = False, _covered_words(own, its)
+                if hit := passage_in(own, its, lo - a0, hi - a0, min_words, covered):
                     out.append((doc, a0 + hit[0], a0 + hit[1], mate, int(hit[2])))
+                    exact = hit[2]
                     # The other document's row, as the first that has it.
                     if hit := passage_in(its, own, there - b0, back - b0, min_words):
                         out.append((mate, b0 + hit[0], b0 + hit[1], mate, int(hit[2])))
+                # Equal words amid others that agree less are an exact passage, whatever is said of the whole.
+                if not exact and np.diff(np.flatnonzero(np.r_[True, ~covered, True])).max() > min_words:
+                    for of, base, runs in zip((doc, mate), (a0, b0), equal_runs(own, its, min_words)):
+                        out += [(of, base + i, base + j, mate, 1) for i, j in runs]
         cols = list(zip(*out)) if out else [[]] * 5
         return C.pa_batch(**{k: pa.array(x, pa.int64()) for k, x in zip(("doc", "start", "end", "mate", "exact"), cols)})
 

@@ -189,6 +189,20 @@ def test_chain_of_overlapping_passages_loses_no_word(docs_of, prose):
     assert len(got[5]) < 130 and len(got[9]) < 75
 
 
+@pytest.mark.parametrize("near", [9, 3])
+def test_exact_passage_amid_words_that_agree_less(docs_of, prose, near):
+    """Around 55 equal words, one word in ten differs (a near-duplicate), or only 4 words in 16 agree (none)."""
+    p = prose(55, 8000)
+    a, b = (prose(96, 8001 + i).split() for i in range(2))
+    for k in range(96):
+        if k % 10 if near == 9 else k % 16 < 4:
+            b[k] = a[k]
+    docs = [(1, prose(40, 1) + " " + " ".join(a[:48]) + " " + p + " " + " ".join(a[48:])), (2, prose(75, 2) + " " + " ".join(b[:48]) + " " + p + " " + " ".join(b[48:]))]
+    got = {r["doc_id"]: r for r in P.repeated_passages(docs_of(docs)).collect()}
+    for i, at in ((1, 88), (2, 123)):
+        assert got[i]["exact"] and got[i]["start_word"] <= at and got[i]["end_word"] >= at + 55 and got[i]["first_doc_id"] == 1
+
+
 def test_query_against_brute_force(spark, sf):
     docs = [(r["doc_id"], (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     exact = {r["doc_id"] for r in P.query(spark, sf).collect() if r["exact"]}
