@@ -36,8 +36,8 @@ LEAST_RELEVANCE, CHANCE_G2, HALF_G2 = 0.05, 4.0, 16.0
 BEGINNINGS = (5, 6, 7)
 #: Vectors of a block; a list is long, and read by blocks, if over 1 / LONG of all vectors are on it.
 _BLOCK, _LONG = 64, 16
-#: Queries that are searched together, and entries of short lists that are added up in one step.
-_TOGETHER, _PAIRS = 128, 1 << 19
+#: Queries that are searched together.
+_TOGETHER = 256
 #: Texts whose results a worker remembers for their copies; others are searched again.
 _KNOWN = 40_000
 
@@ -57,32 +57,40 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Lookup:
-    """Places of known hashes, behind a bitmap that turns most others away."""
+    """Places of known hashes, by a table of where the hashes that begin with the same bits are."""
 
     terms: np.ndarray
-    quick: np.ndarray = field(init=False, repr=False)
+    first: np.ndarray = field(init=False, repr=False)
 
     def __post_init__(self):
         self.terms = np.sort(np.asarray(self.terms, dtype=_U))
-        bits = max(20, min(26, len(self.terms).bit_length() + 3))
+        bits = max(8, min(22, len(self.terms).bit_length() + 1))
         self.shift = _U(64 - bits)
-        self.quick = np.zeros(1 << bits, bool)
-        self.quick[self.terms >> self.shift] = True
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((self.terms >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the hashes are known, their places)."""
-        at = np.flatnonzero(self.quick[hashes >> self.shift])
-        if not len(self.terms) or not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.terms, hashes[at]), len(self.terms) - 1)
-        good = self.terms[place] == hashes[at]
-        return at[good], place[good]
+        """(which of the hashes are known, in order; their places)."""
+        head = (hashes >> self.shift).view(np.int64)
+        place, end = self.first[head], self.first[head + 1]
+        found = np.full(len(hashes), -1, np.int64)
+        at = np.flatnonzero(place < end)
+        place, end = place[at], end[at]
+        while len(at):
+            same = self.terms[place] == hashes[at]
+            found[at[same]] = place[same]
+            place += 1
+            more = ~same & (place < end)
+            at, place, end = at[more], place[more], end[more]
+        at = np.flatnonzero(found >= 0)
+        return at, found[at]
 
     def counts(self, owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, tf) of the known hashes, ordered by text and term."""
         at, place = self.places(hashes)
-        pair, tf = np.unique(owner[at] * np.int64(max(1, len(self.terms))) + place, return_counts=True)
-        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms)), tf
+        bits = len(self.terms).bit_length()
+        pair, tf = np.unique((owner[at] << bits) + place, return_counts=True)
+        return pair >> bits, pair & ((1 << bits) - 1), tf
 
 
 _POSTING = np.dtype([("place", "<i4"), ("weight", "<f4")])
@@ -117,11 +125,11 @@ class BlockMaxIndex:
         self.dense[at // _BLOCK, self.column[term[is_long]], at % _BLOCK] = weight[is_long]
         self.peak = self.dense.max(axis=2, initial=0.0)
         o = np.flatnonzero(~is_long)
-        o = o[np.lexsort((place[vector[o]], term[o]))]
+        o = o[np.argsort(term[o].astype(np.int64) * n + place[vector[o]])]
         self.start = np.searchsorted(term[o], np.arange(n_terms + 1))
         posted = np.empty(len(o), _POSTING)
         posted["place"], posted["weight"] = place[vector[o]], weight[o]
-        self.posted = posted.view(np.int64)  # both halves in one read
+        self.posted = posted.view("<i8")  # both halves in one read, the place in the lower one
         self.full = np.arange(self.blocks * _BLOCK) < n
 
     def search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, opened: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,19 +142,19 @@ class BlockMaxIndex:
         o = np.flatnonzero(col < 0)
         who, size_of = owner[o], self.start[term[o] + 1] - self.start[term[o]]
         short = np.zeros((n, width), np.float32)
-        ends = np.cumsum(np.bincount(who, weights=size_of, minlength=n))
-        a = 0
-        while a < n and len(self.posted):  # as many queries as have _PAIRS entries, one at least
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _PAIRS, side="right")))
-            some = o[np.searchsorted(who, a) : np.searchsorted(who, b)]
-            size = size_of[np.searchsorted(who, a) : np.searchsorted(who, b)]
-            at = np.arange(size.sum()) + np.repeat(self.start[term[some]] - np.cumsum(size) + size, size)
-            # 64-bit places and weights: bincount is slow with any others.
-            got = np.take(self.posted, at, mode="clip").view(_POSTING)
-            flat = np.repeat((owner[some] - a) * width, size) + got["place"]
-            each = np.repeat(weight[some].astype(np.float64), size) * got["weight"]
-            short[a:b] = np.bincount(flat, weights=each, minlength=(b - a) * width).reshape(b - a, width)
-            a = b
+        cut = np.searchsorted(who, np.arange(n + 1)).tolist()
+        ends = np.r_[0, np.cumsum(size_of)]
+        begin = self.start[term[o]] - ends[:-1]
+        count, light = np.arange(np.diff(ends[cut]).max()), weight[o].astype(np.float32)
+        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])):  # one query's entries stay in the cache
+            if ends[b] > ends[a]:
+                size = size_of[a:b]
+                at = np.repeat(begin[a:b] + ends[a], size)
+                at += count[: len(at)]
+                got = self.posted.take(at, mode="clip")
+                each = np.repeat(light[a:b], size)
+                each *= got.view(_POSTING)["weight"]
+                np.add.at(short[i], got & 0xFFFFFFFF, each)
         short = short.reshape(n, self.blocks, _BLOCK)
         q = np.zeros((n, self.dense.shape[1]), np.float32)
         q[owner[col >= 0], col[col >= 0]] = weight[col >= 0]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -30,6 +31,31 @@ def test_index_is_exact(n, terms, k):
         assert len(set(e[q == i])) == len(best)
 
 
+def test_search_works_on_one_query_at_a_time():
+    """Beside scores, of 128 x 2,048 here, it needs memory for the entries of one query, 12,000 here."""
+    n, terms, each = 2000, 2000, 200
+    rng = np.random.default_rng(5)
+    index = X.BlockMaxIndex(np.repeat(np.arange(n), 60), rng.permuted(np.tile(np.arange(terms), (n, 1)), axis=1)[:, :60].ravel(), np.full(n * 60, 0.13, np.float32), n, terms)
+    assert (index.column < 0).all()  # all lists are short
+    asked = (np.repeat(np.arange(128), each), np.tile(np.arange(each), 128), np.full(128 * each, 0.07, np.float32))
+    index.search(*asked, 128, 25)
+    tracemalloc.start()
+    index.search(*asked, 128, 25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_lookup_finds_all_and_only_known_hashes(n):
+    rng = np.random.default_rng(n)
+    near = np.arange(n // 2, dtype=np.uint64) + np.uint64(1 << 63)  # these begin with the same bits
+    terms = np.unique(np.r_[near, rng.integers(0, 1 << 64, n - n // 2, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)[:n]])
+    asked = rng.permutation(np.r_[terms, terms, terms + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64)])
+    at, place = X.Lookup(terms).places(asked)
+    assert (at == np.flatnonzero(np.isin(asked, terms))).all() and (terms[place] == asked[at]).all()
+
+
 def test_isotonic_curve_rises():
     x, y = X.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.9]), np.array([0, 1, 0, 1, 1.0]), np.ones(5))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 0 <= y.min() and y.max() <= 1
