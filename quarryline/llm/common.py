@@ -24,6 +24,8 @@ _WS[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Text bytes that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: The same where many arrays of numbers per byte of text are made.
+SMALL_STEP = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,12 +114,12 @@ def lean(fn: Callable) -> Callable:
 # --- Arrow helpers -------------------------------------------------------------------------
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over batches cut to about STEP_BYTES of their widest column."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, most: int = STEP_BYTES) -> DataFrame:
+    """mapInArrow over batches cut to about `most` bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch):
+            for part in cut(batch, most):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
@@ -196,7 +198,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, STEP_BYTES + 4096), base, dtype=_U)
+        have = np.full(max(n, (SMALL_STEP if n <= SMALL_STEP + 4096 else STEP_BYTES) + 4096), base, dtype=_U)
         have[0] = 1
         have = np.cumprod(have, dtype=_U)
         _POWERS[base] = have if n <= 4 * STEP_BYTES else _POWERS.get(base, have[: STEP_BYTES + 4096])

@@ -30,6 +30,8 @@ from .toxicity import Lookup
 
 _U = np.uint64
 PASSAGE, STRIDE, ITEMS = 48, 8, 256
+#: Bytes of places that a worker looks at together, and passages from which their products are added up.
+SLICE_BYTES, ROWS = 1 << 20, 8192
 MIN_COSINE, MIN_LCS, SURE_LCS = 0.4, 0.55, 0.75
 #: A term of over this share of all passages doesn't count as a sign of an item.
 COMMON = 0.05
@@ -94,7 +96,7 @@ def term_places(docs: DataFrame, lookup: Lookup, id_col: str, text_col: str) ->
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         return C.pa_batch(doc_id=batch.column(0), n_words=np.diff(w.of).astype(np.int64), pos=pa.array([pos[a:b].tobytes() for a, b in spans], pa.binary()), term=pa.array([place[a:b].tobytes() for a, b in spans], pa.binary()))
 
-    return C.stored(C.arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), one, f"doc_id {kind}, n_words long, pos binary, term binary"), "term-places")
+    return C.stored(C.arrow_map(docs.select(F.col(id_col), F.col(text_col).cast("string")), one, f"doc_id {kind}, n_words long, pos binary, term binary", C.SMALL_STEP), "term-places")
 
 
 def _term_type(n: int) -> str:
@@ -102,18 +104,16 @@ def _term_type(n: int) -> str:
 
 
 class Slices:
-    """(n_words, lengths, pos, term) arrays of record batches of term_places, put together to some size."""
+    """(n_words, lengths, pos, term) arrays of record batches of term_places, cut to about SLICE_BYTES."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch], wide: str):
         self.batches, self.wide = batches, wide
 
     def __iter__(self):
         for whole in self.batches:
-            for b in C.cut(whole, 4 << 20):
-                pos = np.frombuffer(b"".join(b.column("pos").to_pylist()), "<u4").astype(np.int64)
-                term = np.frombuffer(b"".join(b.column("term").to_pylist()), self.wide).astype(np.int64)
-                size = np.diff(C._offsets(b.column("pos"))) // 4
-                yield b, b.column("n_words").to_numpy(), size, pos, term
+            for b in C.cut(whole, SLICE_BYTES):
+                (pos, at), (term, _) = (C.text_buffer(b.column(c)) for c in ("pos", "term"))
+                yield b, b.column("n_words").to_numpy(), np.diff(at) // 4, pos.view("<u4").astype(np.int64), term.view(self.wide).astype(np.int64)
 
 
 def _passage_entries(size, pos, term, n_terms: int, keep: np.ndarray | None = None):
@@ -135,19 +135,18 @@ def _unit(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return weight / norm[number]
 
 
-def _gram_times(number, term, weight, block: np.ndarray, n_terms: int) -> np.ndarray:
-    """A'A times block, for rows of A given by their entries (ordered by row). Rows of as many entries are
-    multiplied together; the way back is a product per term."""
-    out = np.zeros((n_terms, block.shape[1]), np.float64)
+def _add_gram_times(out: np.ndarray, number, term, weight, block: np.ndarray) -> None:
+    """Add A'A times block to out, for rows of A given by their entries (ordered by row). Rows of as many
+    entries are multiplied together; the way back is a product per term."""
     if not len(number):
-        return out
+        return
     w = weight.astype(np.float32)
     starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
     size = np.diff(np.r_[starts, len(number)])
     y = np.zeros((len(starts), block.shape[1]), np.float32)
     for m in np.unique(size):
         rows = np.flatnonzero(size == m)
-        for some in np.array_split(rows, max(1, len(rows) * int(m) // 16_384)):
+        for some in np.array_split(rows, max(1, len(rows) * int(m) // 4096)):
             at = starts[some][:, None] + np.arange(m)
             y[some] = np.matmul(w[at][:, None, :], block[term[at]])[:, 0]
     row = np.repeat(np.arange(len(starts)), size)
@@ -156,8 +155,7 @@ def _gram_times(number, term, weight, block: np.ndarray, n_terms: int) -> np.nda
     cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
     for a, b in zip(cuts, np.r_[cuts[1:], len(t)]):
         some = order[a:b]
-        out[t[a]] = w[some] @ y[row[some]]
-    return out
+        out[t[a]] += w[some] @ y[row[some]]
 
 
 def _summed(places: DataFrame, fn, width: int) -> np.ndarray:
@@ -236,16 +234,17 @@ def latent_basis(places: DataFrame, items: Items, extra: int = 32, seed: int = 7
             if len(number):
                 held.append((number + n, t, _unit(number, (1 + np.log(tf)) * idf[t])))
                 n += int(number[-1]) + 1
-            if n > 30_000:
-                total += _gram_times(*(np.concatenate(x) for x in zip(*held)), b32, v)
+            if n > ROWS:
+                _add_gram_times(total, *(np.concatenate(x) for x in zip(*held)), b32)
                 held, n = [], 0
         if held:
-            total += _gram_times(*(np.concatenate(x) for x in zip(*held)), b32, v)
+            _add_gram_times(total, *(np.concatenate(x) for x in zip(*held)), b32)
         return total
 
     if not width:
         return idf, telling, block
-    image = _padded(_summed(places, run, width), v) + _gram_times(row, term, weight * strong, b32, v)
+    image = _padded(_summed(places, run, width), v)
+    _add_gram_times(image, row, term, weight * strong, b32)
     # Nystrom: A'A is close to image (block' image)^-1 image', made stable by a small shift.
     shift = 1e-6 * np.linalg.norm(image)
     image = image + shift * block

@@ -146,7 +146,7 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
             cols[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(part.schema.field(chars).type)
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return C.arrow_map(docs, one, docs.schema)
+    return C.arrow_map(docs, one, docs.schema, C.SMALL_STEP)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

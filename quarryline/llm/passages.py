@@ -409,7 +409,7 @@ def _verified(spark, whole: DataFrame, proposed: DataFrame, min_words: int) -> D
         return C.pa_batch(area=pa.array([n["area"] for _, n in rows], pa.string()), n=pa.array([n["n"] for _, n in rows], pa.int64()), words=pa.array([x for x, _ in rows], pa.binary()))
 
     # An id may have several rows; those that differ are compared each.
-    read_words = C.stored(C.arrow_map(texts, read, "area string, n long, words binary").groupBy("area").agg(F.max("n").alias("n"), F.collect_set("words").alias("words")), "area-words")
+    read_words = C.stored(C.arrow_map(texts, read, "area string, n long, words binary", C.SMALL_STEP).groupBy("area").agg(F.max("n").alias("n"), F.collect_set("words").alias("words")), "area-words")
     pairs = C.lookup(asked, read_words.select(F.col("area").alias("own"), "n", F.col("words").alias("a")), "own", "n")
     pairs = C.lookup(pairs.drop("n"), read_words.select(F.col("area").alias("its"), "n", F.col("words").alias("b")), "its", "n")
 
@@ -532,15 +532,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in (b for x in batches for b in C.cut(x)):
+
+        def taken() -> np.ndarray:
+            rec = np.concatenate(held)
+            held.clear()
+            return rec
+
+        for batch in (b for x in batches for b in C.cut(x, C.SMALL_STEP)):
             rec = _windows_of(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False), shingle, min_words, functions)
             held.append(rec)
             size += rec.nbytes
             if size > (12 << 20):
-                yield _packed(np.concatenate(held), buckets, shingle, min_words)
-                held, size = [], 0
+                yield _packed(taken(), buckets, shingle, min_words)
+                size = 0
         if size:
-            yield _packed(np.concatenate(held), buckets, shingle, min_words)
+            yield _packed(taken(), buckets, shingle, min_words)
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         rec = np.frombuffer(b"".join(group.column("windows").to_pylist()), WINDOW)
@@ -626,22 +632,21 @@ def _reduced(rec: np.ndarray, shingle: int, min_words: int) -> np.ndarray:
     wide = np.flatnonzero(shingle + STEP * sides >= min_words - STEP)
     if not len(wide):
         return rec
-    r = rec[wide]
-    h = r["key"].copy()
+    h = rec["key"][wide]
     for side in ("l", "r"):
-        h = C.mix(h + np.minimum(r["room_" + side] // STEP, _REACH).astype(_U))
+        h = C.mix(h + np.minimum(rec["room_" + side][wide] // STEP, _REACH).astype(_U))
         for k in range(_REACH):
-            h = C.mix(h + r["ctx_" + side][:, k].astype(_U) + _U(k))
-    order = np.lexsort((r["at"], r["doc"], h))
+            h = C.mix(h + rec["ctx_" + side][wide, k].astype(_U) + _U(k))
+    order = np.lexsort((rec["at"][wide], rec["doc"][wide], h))
     start, size = _groups(h[order])
-    lowest = np.repeat(r["doc"][order][start], size)
-    d = r["doc"][order]
+    d = rec["doc"][wide][order]
+    lowest = np.repeat(d[start], size)
     place = np.arange(len(d)) - np.repeat(start, size)
     tell = (place >= 2) & (d != lowest) & (np.repeat(d[np.minimum(start + 1, len(d) - 1)], size) != lowest)
     rows = wide[order[tell]]
     rec["told"][rows] = 1
     rec["key"][rows] = lowest[tell].view(_U)
-    rec["ctx_l"][rows, 0] = np.repeat(r["at"][order][start], size)[tell]  # where the lowest has it
+    rec["ctx_l"][rows, 0] = np.repeat(rec["at"][wide[order[start]]], size)[tell]  # where the lowest has it
     return rec
 
 
@@ -653,7 +658,8 @@ def _packed(rec: np.ndarray, buckets: int, shingle: int, min_words: int) -> pa.R
     order = np.argsort(b, kind="stable")
     b, rec = b[order], rec[order]
     start, size = _groups(b)
-    return C.pa_batch(bucket=b[start].astype(np.int32), windows=pa.array([rec[i : i + n].tobytes() for i, n in zip(start, size)], pa.binary()))
+    ends = pa.py_buffer((np.r_[start, len(rec)] * rec.itemsize).astype(np.int32))
+    return C.pa_batch(bucket=b[start].astype(np.int32), windows=pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(rec.view(np.uint8))]))
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -1,10 +1,15 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import types as T
+
+from quarryline.llm import common as C
 from quarryline.llm import decontam as D
 
 
@@ -115,3 +120,28 @@ def test_item_ids_of_any_type(docs_of, prose, spark):
     bench = spark.createDataFrame([("mmlu/7", item), ("gsm/1", prose(40, 9)), (None, item)], "item_id string, text string")
     got = D.contaminated(docs_of([(1, prose(60, 1) + " " + item), (2, prose(90, 2))]), bench).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, "mmlu/7")]
+
+
+def test_a_batch_is_worked_on_in_small_slices(monkeypatch, prose):
+    """Twelve MB of places come in one batch; what a worker holds for them at a time doesn't grow with it."""
+    vocabulary = prose(2500, 1).split()
+    r = random.Random(2)
+    items = D.Items([(i, " ".join(r.choices(vocabulary, k=40))) for i in range(200)], [None] * 200)
+    v, n, each = len(items.lookup.terms), 8000, 250
+    rng = np.random.default_rng(3)
+    pos, term = np.arange(0, 3 * each, 3, "<u4").tobytes(), rng.integers(0, v, n * each).astype("<u2").tobytes()
+    batch = C.pa_batch(doc_id=np.arange(n), n_words=np.full(n, 3 * each), pos=[pos] * n, term=[term[2 * each * i : 2 * each * (i + 1)] for i in range(n)])
+    peaks = []
+
+    def traced(fn):
+        tracemalloc.start()
+        out = fn([batch])
+        out = out if isinstance(out, np.ndarray) else list(out)
+        peaks.append(tracemalloc.get_traced_memory()[1] / (1 << 20))
+        tracemalloc.stop()
+        return out
+
+    monkeypatch.setattr(D, "_summed", lambda places, fn, width: traced(fn))
+    places = SimpleNamespace(schema=T.StructType([T.StructField("doc_id", T.LongType())]), mapInArrow=lambda fn, schema: traced(fn))
+    D.search(places, items, *D.latent_basis(places, items))
+    assert len(peaks) == 3 and max(peaks) < 64, peaks
