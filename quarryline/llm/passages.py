@@ -39,6 +39,8 @@ VERIFIED, COMMON = 0.6, 4
 GAP, PAD = 12, 64
 #: Times as many partners that what is still open meets in each turn.
 FASTER = 8
+#: Bytes of text whose windows one group holds, and one task; rows of what came of them, and of a batch of links.
+GROUP_TEXT, TASK_TEXT, GROUP_ROWS, TASK_ROWS, LINKS = 2 << 20, 16 << 20, 200_000, 2_000_000, 500_000
 _SEEDS = [_U(x | 1) for x in (0x8E3F5B1C9D2A7741, 0xD1B54A32D192ED03, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC6BC279692B5CC83, 0xE7037ED1A0B428DB)]
 
 
@@ -455,20 +457,28 @@ def _runs(g: dict[str, np.ndarray], doc: int, min_words: int) -> list[tuple[int,
 
 
 def _next_partners(g: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]:
-    """Links of open windows to further members of their groups. g: (key, doc, pivot, fn, open), each member of
-    the groups but the first, which all have met. In turn 1 the next of them meets all those behind it, in each
-    turn then FASTER times as many do, if one of the two is open; the later document is told."""
+    """All of _partners_by_part() at once."""
+    parts = list(_partners_by_part(g, turn))
+    return {k: np.concatenate([np.zeros(0, np.int64), *(x[k] for x in parts)]) for k in _LINK}
+
+
+_LINK = ("doc", "mate", "pivot", "shift", "fn", "key")
+
+
+def _partners_by_part(g: dict[str, np.ndarray], turn: int) -> Iterator[dict[str, np.ndarray]]:
+    """Links of open windows to further members of their groups, some at a time. g: (key, doc, pivot, fn, open), each
+    member of the groups but the first, which all have met. In turn 1 the next of them meets all those behind it, in
+    each turn then FASTER times as many do, if one of the two is open; the later document is told."""
     o = np.lexsort((g["pivot"], g["doc"], g["key"]))
     key, doc, pivot, fn, opened = (g[k][o] for k in ("key", "doc", "pivot", "fn", "open"))
-    none = {k: np.zeros(0, np.int64) for k in ("doc", "mate", "pivot", "shift", "fn", "key")}
     if not len(o):
-        return none
+        return
     member = _numbered(key, doc)
     at = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])  # a member's first place
     is_open = np.maximum.reduceat(opened, at)[member] > 0
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     base = np.repeat(member[first], np.diff(np.r_[first, len(o)]))  # number of the group's first member
-    parts = []
+    parts, held = [], 0
     begin = sum(FASTER**i for i in range(turn - 1))
     for hub in range(begin, begin + FASTER ** (turn - 1)):
         rows = np.flatnonzero(member - base > hub)
@@ -477,7 +487,12 @@ def _next_partners(g: dict[str, np.ndarray], turn: int) -> dict[str, np.ndarray]
         it = at[base[rows] + hub]
         rows, it = (x[is_open[rows] | is_open[it]] for x in (rows, it))
         parts.append((doc[rows], doc[it], pivot[rows], pivot[rows] - pivot[it], fn[rows], key[rows]))
-    return dict(zip(none, map(np.concatenate, zip(*parts)))) if parts else none
+        held += len(rows)
+        if held >= LINKS:
+            yield dict(zip(_LINK, map(np.concatenate, zip(*parts))))
+            parts, held = [], 0
+    if held:
+        yield dict(zip(_LINK, map(np.concatenate, zip(*parts))))
 
 
 def _by_first(spans: list[tuple[int, int, int, bool]], doc: int) -> list[tuple[int, int, int, bool]]:
@@ -528,7 +543,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     under min_words words, have no passages. Only id and text are read; an empty table gives an empty one."""
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    buckets = 4 * C.partitions(spark)
+    size = whole.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = _groups_for(spark, size, GROUP_TEXT)
+
+    def grouped(df: DataFrame, by: str | None, most: int, tasks: int):
+        """df in groups of the documents or keys of column `by`, whose number follows the data, not the settings."""
+        if by:
+            df = df.withColumn("bucket", F.pmod(F.hash(by), F.lit(most)))
+        return (df.repartition(tasks, "bucket") if tasks > C.partitions(spark) else df).groupBy("bucket")
+
+    def by_rows(df: DataFrame, by: str, rows: int):
+        return grouped(df, by, _groups_for(spark, rows, GROUP_ROWS), rows // TASK_ROWS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -552,7 +577,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         rec = np.frombuffer(b"".join(group.column("windows").to_pylist()), WINDOW)
         return pa.table(_meet(rec, shingle, min_words))
 
-    met = whole.mapInArrow(C.lean(emit), "bucket int, windows binary").groupBy("bucket").applyInArrow(C.lean(meet), ", ".join(f"{c} long" for c in _MET))
+    met = grouped(whole.mapInArrow(C.lean(emit), "bucket int, windows binary"), None, buckets, size // TASK_TEXT).applyInArrow(C.lean(meet), ", ".join(f"{c} long" for c in _MET))
     met = C.stored(met, "shared-windows")
 
     def columns(g: pa.Table) -> dict[str, np.ndarray]:
@@ -562,8 +587,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table(_sorted_out(columns(group), shingle, min_words, functions, agree))
 
     # A document is as large a group as there is; many of them share a bucket to save calls.
-    bucket = F.pmod(F.hash("doc"), F.lit(4 * C.partitions(spark))).alias("bucket")
-    told = C.stored(met.groupBy(bucket).applyInArrow(C.lean(sort_out), ", ".join(f"{c} long" for c in _TOLD)), "sorted-out")
+    told = C.stored(by_rows(met, "doc", met.count()).applyInArrow(C.lean(sort_out), ", ".join(f"{c} long" for c in _TOLD)), "sorted-out")
     spans = told.filter(F.col("kind") == _EXACT).select("doc", "start", "end", "mate", F.lit(1).cast("long").alias("exact"))
     found = [C.stored(_verified(spark, whole, told.filter(F.col("kind") == _PROPOSED), min_words), "verified")]
     opened = told.filter(F.col("kind") == _OPEN).select("doc", "key", "pivot", "fn")
@@ -580,8 +604,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({k: g[k][rows] for k in ("doc", "key", "pivot", "fn")})
 
     def partners(turn: int):
-        def meet_next(key: tuple, group: pa.Table) -> pa.Table:
-            return pa.table(_next_partners(columns(group), turn))
+        # A hot group's links are many times its members: they leave as they are made.
+        def meet_next(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                for part in _partners_by_part(columns(pa.Table.from_batches(list(batches))), turn):
+                    yield C.pa_batch(**part)
+            finally:
+                C.trim()
 
         return meet_next
 
@@ -598,14 +627,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             known = known.unionByName(x)
         # The spans found so far and the open windows of a document, in one group: a span's end travels as its key.
         both = opened.withColumn("open", F.lit(1)).unionByName(known.select("doc", F.col("end").alias("key"), F.col("start").alias("pivot"), F.lit(0).cast("long").alias("fn"), F.lit(0).alias("open")))
-        opened = C.stored(both.groupBy(bucket).applyInArrow(C.lean(still_open), "doc long, key long, pivot long, fn long"), "open-windows")
+        opened = C.stored(by_rows(both, "doc", opened.count() + known.count()).applyInArrow(C.lean(still_open), "doc long, key long, pivot long, fn long"), "open-windows")
         keys = C.stored(opened.select(F.col("key").alias("open_key")).distinct(), "open-keys")
         own = members.join(C.if_small(keys), F.col("key") == F.col("open_key"), "left_semi").withColumn("open", F.lit(0)).unionByName(opened.withColumn("open", F.lit(1)))
-        by_key = F.pmod(F.hash("key"), F.lit(4 * C.partitions(spark))).alias("bucket")
-        links = C.stored(own.groupBy(by_key).applyInArrow(C.lean(partners(turn)), "doc long, mate long, pivot long, shift long, fn long, key long"), "further-links")
-        if not links.limit(1).count():
+        links = C.stored(by_rows(own, "key", met.count()).applyInArrow(partners(turn), "doc long, mate long, pivot long, shift long, fn long, key long"), "further-links")
+        if not (n := links.count()):
             break
-        found.append(C.stored(_verified(spark, whole, links.groupBy(bucket).applyInArrow(C.lean(along), "doc long, start long, end long, mate long, mate_start long, mate_end long"), min_words), "verified"))
+        found.append(C.stored(_verified(spark, whole, by_rows(links, "doc", n).applyInArrow(C.lean(along), "doc long, start long, end long, mate long, mate_start long, mate_end long"), min_words), "verified"))
     for x in found:
         spans = spans.unionByName(x)
 
@@ -622,7 +650,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "start_word": pa.array(cols[1], pa.int64()), "end_word": pa.array(cols[2], pa.int64()), "first_doc_id": pa.array(cols[3], pa.int64()), "exact": pa.array(cols[4], pa.bool_())})
 
-    return spans.groupBy(bucket).applyInArrow(C.lean(merge), "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
+    return by_rows(spans, "doc", told.count() + sum(x.count() for x in found)).applyInArrow(C.lean(merge), "doc_id long, start_word long, end_word long, first_doc_id long, exact boolean")
+
+
+def _groups_for(spark, amount: int, most: int) -> int:
+    """Groups to make of an amount of which one should hold `most`."""
+    return max(4 * C.partitions(spark), -(-amount // most))
 
 
 def _reduced(rec: np.ndarray, shingle: int, min_words: int) -> np.ndarray:

@@ -214,3 +214,24 @@ def test_gram_hash(n):
     w = C.mix(np.arange(20, dtype=np.uint64) % np.uint64(5))
     h = C.gram_hash(w, n)
     assert all((h[i] == h[j]) == (w[i : i + n] == w[j : j + n]).all() for i in range(len(h)) for j in range(len(h)))
+
+
+def test_partners_of_a_hot_group_come_in_parts(monkeypatch):
+    """The links of one group never lie in memory all at once, and are the same."""
+    monkeypatch.setattr(P, "LINKS", 100)
+    n = 300
+    g = {"key": np.ones(n, np.int64), "doc": np.arange(n), "pivot": np.arange(n) % 7, "fn": np.zeros(n, np.int64), "open": np.ones(n, np.int64)}
+    parts = list(P._partners_by_part(g, 2))
+    assert len(parts) > 5 and max(len(x["doc"]) for x in parts) < 100 + n
+    assert {(a, b) for x in parts for a, b in zip(x["mate"].tolist(), x["doc"].tolist())} == {(a, b) for a in range(1, 9) for b in range(a + 1, n)}
+
+
+def test_groups_follow_the_text_not_the_settings(spark, docs_of, prose, monkeypatch):
+    """A fixed number of partitions doesn't make groups larger than GROUP_TEXT; more groups give the same passages."""
+    both = prose(80, 5)
+    docs = docs_of([(i, f"{prose(200, 100 + i)} {both} {prose(200, 500 + i)}") for i in range(30)])
+    before = {tuple(r) for r in P.repeated_passages(docs).collect()}
+    assert P._groups_for(spark, 6 << 30, P.GROUP_TEXT) == (6 << 30) // P.GROUP_TEXT and len(before) == 30
+    for name, to in (("GROUP_TEXT", 1000), ("TASK_TEXT", 10_000), ("GROUP_ROWS", 50), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(P, name, to)
+    assert {tuple(r) for r in P.repeated_passages(docs).collect()} == before
