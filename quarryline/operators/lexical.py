@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import scoring as SC
 
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that",
@@ -67,6 +69,13 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(term, df, cf) of all contents."""
+    if one_row_each(chunks):
+        return SC.term_counts(chunks.select(analyze(F.col("content")).alias("_t")), "_t")
+    return postings(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
 def idf(df: Column, n: Column) -> Column:
     return F.ln(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
@@ -75,6 +84,16 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
     return idf(df, n) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _bm25_of(tf, dl, df, n, avgdl):
+    """bm25() on arrays."""
+    return np.log(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def one_row_each(chunks: DataFrame, id_col: str = "id") -> bool:
+    """Whether no id has several rows."""
+    return not chunks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+
+
 def match_scores(clauses: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
     """(qid, clause, id, score, n_terms) of clauses (qid, clause, field, term, boost).
 
@@ -122,6 +141,15 @@ def build_clauses(queries: DataFrame, weights: Weights = Weights()) -> DataFrame
     return out
 
 
+def _worded(clauses: DataFrame, chunks: DataFrame, fields: tuple[str, ...], posted: DataFrame | None, stats: DataFrame | None) -> DataFrame:
+    """(qid, id, score) of clauses by postings, those of the index where it has them."""
+    posted = postings(chunks, fields=fields) if posted is None else posted
+    stats = field_stats(chunks, fields) if stats is None else stats
+    found = match_scores(clauses.drop("need"), posted, stats)
+    need = clauses.groupBy("qid", "clause").agg(F.max("need").alias("need"))
+    return found.join(need, ["qid", "clause"]).filter((F.col("need") == 0) | (F.col("n_terms") == F.col("need"))).select("qid", "id", "score")
+
+
 def search(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights = Weights(), prefix: str = "", posted: DataFrame | None = None, stats: DataFrame | None = None, clauses: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best chunks of each query (qid, query) by score, ties by id.
 
@@ -129,17 +157,23 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: Weights
     ranked, while statistics stay those of the whole corpus. Queries without a clause have no hit."""
     k = k if k > 0 else 10
     fields = tuple(f for f in FIELDS if f in chunks.columns)
-    posted = postings(chunks, fields=fields) if posted is None else posted
-    stats = field_stats(chunks, fields) if stats is None else stats
-    clauses = (build_clauses(queries, weights) if clauses is None else clauses).filter(F.col("field").isin(*fields))
-    found = match_scores(clauses.drop("need"), posted, stats)
-    need = clauses.groupBy("qid", "clause").agg(F.max("need").alias("need"))
-    found = found.join(need, ["qid", "clause"]).filter((F.col("need") == 0) | (F.col("n_terms") == F.col("need"))).select("qid", "id", "score")
-    if weights.symbol_exact > 0 and "symbol" in chunks.columns:
+    by_symbol = weights.symbol_exact > 0 and "symbol" in chunks.columns
+    worded = clauses is not None or max(weights.content, weights.path, weights.symbol, weights.latin_content, weights.latin_path, weights.compound_key) > 0
+    if clauses is None:
+        clauses = build_clauses(queries, weights)
+    clauses = clauses.filter(F.col("field").isin(*fields))
+    if worded and not by_symbol and posted is None and stats is None and one_row_each(chunks):
+        inside = text.in_subtree(F.col("path"), prefix) if prefix else None
+        return top_k(SC.best(clauses, chunks, {f: analyze(F.col(f)) for f in fields}, k, inside, _bm25_of), k)
+    found = _worded(clauses, chunks, fields, posted, stats) if worded else None
+    if by_symbol:
         n = chunks.count()
         exact = queries.join(chunks.filter(F.col("symbol") != "").select(F.col("symbol").alias("query"), "id"), "query")
         df = exact.groupBy("qid").agg(F.count(F.lit(1)).alias("df"))
-        found = found.unionByName(exact.join(df, "qid").select("qid", "id", (F.lit(weights.symbol_exact) * idf(F.col("df"), F.lit(n))).alias("score")))
+        by_name = exact.join(df, "qid").select("qid", "id", (F.lit(weights.symbol_exact) * idf(F.col("df"), F.lit(n))).alias("score"))
+        found = by_name if found is None else found.unionByName(by_name)
+    if found is None:
+        found = queries.select("qid").crossJoin(chunks.select("id")).withColumn("score", F.lit(0.0)).limit(0)
     if prefix:
         found = found.join(chunks.filter(text.in_subtree(F.col("path"), prefix)).select("id"), "id", "left_semi")
     total = found.groupBy("qid", "id").agg(F.round(F.sum("score"), 9).alias("score"))
@@ -166,11 +200,11 @@ def lexical_route(queries: DataFrame, chunks: DataFrame, k: int = 20, weights: W
     def ask(q: DataFrame) -> DataFrame:
         return keep(search(q, chunks, k, weights, prefix, clauses=here(build_clauses(q, weights)) if few else None, **ready))
 
-    first = ask(planned)
+    first = ask(planned) if few else ask(planned).persist()  # at most k rows a query, read several times
     changed = queries.join(planned.withColumnRenamed("query", "planned"), "qid").filter(F.col("query") != F.col("planned")).select("qid", "query")
     if not changed.limit(1).count():
         return first
     missed = keep(changed.join(first.select("qid").distinct(), "qid", "left_anti"))
-    if few and not missed.limit(1).count():
+    if not missed.limit(1).count():
         return first
     return first.unionByName(ask(missed))
