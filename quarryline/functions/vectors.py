@@ -23,4 +23,5 @@ def usable(v: Column, dim: int | None = None) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit vector in single precision; null for one that isn't usable."""
-    return F.when(usable(v), F.transform(v, lambda x: (x.cast("double") / norm(v)).cast("float")))
+    # The norm is an array of its own, else it would be summed again for every element.
+    return F.when(usable(v), F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: (x.cast("double") / n).cast("float")))[0])

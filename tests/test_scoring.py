@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarryline import registry
+from quarryline.operators import dense as DN
 from quarryline.operators import lexical as LX
 from quarryline.operators import scoring as SC
 
@@ -61,3 +63,32 @@ def test_symbols_and_term_counts_need_no_postings(spark, sf, monkeypatch):
 def test_term_counts(spark):
     d = spark.createDataFrame([(["a", "b", "a"],), ([],), (None,), (["a"],)], "t array<string>")
     assert {tuple(r) for r in SC.term_counts(d, "t").select("term", F.col("df"), "cf").collect()} == {("a", 2, 3), ("b", 1, 1)}
+
+
+@pytest.mark.parametrize("n_queries", [5, 60])
+def test_nearest_in_blocks_equal_brute_force(spark, monkeypatch, n_queries):
+    """Products decide nothing that the sum in double precision doesn't; ties, several dimensions, several passes."""
+    for name, to in (("QUERY_BLOCK", 7), ("VECTOR_BLOCK", 16), ("PASS", 25), ("HELD", 40)):
+        monkeypatch.setattr(DN, name, to)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(150)] + [(i, [1.0, 0.5]) for i in range(150, 160)] + [(160, [0.0] * 4), (161, None)]
+    d = spark.createDataFrame(rows, "id long, v array<float>").repartition(3)
+    good = [(i, v) for i, v in rows if v and any(v)]
+    unit = {i: [float(np.float32(x / np.sqrt(sum(y * y for y in v)))) for x in v] for i, v in good}
+    asked = [i for i, _ in good if i % 3 == 0][: n_queries - 1] + [150]
+    got = DN.search(d.filter(F.col("id").isin(asked)).selectExpr("id AS qid", "v AS qv"), d, 6).collect()
+
+    def score(a, b):
+        s = 0.0
+        for x, y in zip(unit[a], unit[b]):
+            s += x * y
+        return round(s, 9)
+
+    want = {(q, i, n + 1) for q in asked for n, i in enumerate(sorted((i for i in unit if len(unit[i]) == len(unit[q])), key=lambda i: (-score(q, i), i))[:6])}
+    assert {(x["qid"], x["id"], x["rank"]) for x in got} == want and all(abs(x["score"] - score(x["qid"], x["id"])) < 1e-12 for x in got)
+
+
+def test_many_queries_pair_no_rows(spark, sf):
+    """Query and vector never meet in a join."""
+    plan = registry.queries()["v1_exact_top60"](spark, sf)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Join" not in plan and "MapInArrow" in plan
