@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 
 
+#: Ranges that one task orders.
+RANGES = 250_000
+
+
 def line_windows(files: DataFrame, window: int = 60, overlap: int = 10, doc_window: int = 40, path: str = "path", content: str = "content") -> DataFrame:
     """(path, language, capability, start, end, symbol, content, content_hash, id) of every window of lines.
 
@@ -37,6 +41,10 @@ def coalesce_ranges(ranges: DataFrame, key: str, start: str, end: str, gap: int
     """(key, start, end, n): ranges of one key that overlap, or lie within gap, as one."""
     from pyspark.sql import Window
 
+    # Tasks follow the rows, so that one sorts no more of a larger table. AQE merges those of a default shuffle only.
+    tasks = -(-ranges.count() // RANGES)
+    if tasks > int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")):
+        ranges = ranges.repartition(tasks, key)
     w = Window.partitionBy(key).orderBy(start, end)
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.when(far.isNull() | (F.col(start) > far + gap), 1).otherwise(0))

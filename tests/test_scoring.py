@@ -92,3 +92,14 @@ def test_many_queries_pair_no_rows(spark, sf):
     """Query and vector never meet in a join."""
     plan = registry.queries()["v1_exact_top60"](spark, sf)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Join" not in plan and "MapInArrow" in plan
+
+
+def test_tasks_follow_the_ranges(spark, monkeypatch):
+    """A task orders a bounded number of ranges, however many there are."""
+    from quarryline.operators import chunks as CH
+
+    d = spark.range(1000).selectExpr("id % 100 AS k", "CAST(id DIV 100 * 3 AS INT) AS a", "CAST(id DIV 100 * 3 + id % 5 AS INT) AS b")
+    before = {tuple(r) for r in CH.coalesce_ranges(d, "k", "a", "b").collect()}
+    monkeypatch.setattr(CH, "RANGES", 100)
+    got = CH.coalesce_ranges(d, "k", "a", "b")
+    assert got.rdd.getNumPartitions() == 10 and {tuple(r) for r in got.collect()} == before
